@@ -68,11 +68,14 @@ def sync_log(spark: SparkSession, *stores: str) -> DataFrame:
     return union
 
 
+def _cells(batch: DataFrame) -> DataFrame:
+    return batch.withColumn("cells", delimited.split_cells(F.col("value"))).drop("value")
+
+
 def _new_files(batch: DataFrame, store: str, batch_id: int) -> DataFrame:
     """Digests of the batch's files that no earlier load has completed."""
     spark = batch.sparkSession
-    line = F.concat_ws("\x1f", F.transform("cells", lambda c: F.coalesce(c, F.lit(""))))
-    digests = batch.groupBy("file").agg(content_digest(line).alias("file_hash"))
+    digests = batch.groupBy("file").agg(content_digest(F.col("value")).alias("file_hash"))
     seen = read_batches(spark, f"{store}/files", FILES, before=batch_id)
     return unseen_files(digests, seen)
 
@@ -106,7 +109,7 @@ def ingest_statements(
         audit = fresh.select("file", "file_hash", F.lit("COMPLETED").alias("status"))
         write_batch(audit, f"{store}/files", batch_id)
 
-        rows = statements.statement_rows(batch).filter(statements.has_content())
+        rows = statements.statement_rows(_cells(batch)).filter(statements.has_content())
         taken = read_batch(session, f"{store}/files", FILES, batch_id).select("file")
         rows = join_salted(rows, taken, "file", F.col("line_id")).withColumn("import_id", import_id(F.col("file")))
         rows = rows.drop("file", "block", "line_id")
@@ -133,8 +136,8 @@ def ingest_statements(
         write_batch(counts, f"{store}/imports", batch_id)
         _log(session, store, STATEMENT, staged.agg(F.count("*").alias("last_row")), batch_id)
 
-    cells = delimited.stream_cells(spark.readStream, landing, statements.MAX_COLUMNS)
-    _run(cells, load, f"{store}/_checkpoint")
+    lines = delimited.stream_lines(spark.readStream, landing)
+    _run(lines, load, f"{store}/_checkpoint")
 
 
 def _unknown(staged: DataFrame, known: DataFrame) -> DataFrame:
@@ -158,7 +161,7 @@ def ingest_billing(spark: SparkSession, landing: str, store: str, links: DataFra
 
     def load(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        rows = billing.clean_billing(billing.billing_rows(batch)).drop("block")
+        rows = billing.clean_billing(billing.billing_rows(_cells(batch))).drop("block")
         write_batch(rows, f"{store}/staged", batch_id)
         staged = read_batch(session, f"{store}/staged", BILLING_ROWS, batch_id)
 
@@ -176,8 +179,8 @@ def ingest_billing(spark: SparkSession, landing: str, store: str, links: DataFra
             replace_table(shipping.allocate_shipping(costs, links), f"{store}/shipping_allocations", batch_id)
             _log(session, store, BILLING, billed.agg(F.count("*").alias("last_row")), batch_id)
 
-    cells = delimited.stream_cells(spark.readStream, landing, billing.MAX_COLUMNS)
-    _run(cells, load, f"{store}/_checkpoint")
+    lines = delimited.stream_lines(spark.readStream, landing)
+    _run(lines, load, f"{store}/_checkpoint")
 
 
 def sync_inventory(spark: SparkSession, landing: str, store: str) -> None:
