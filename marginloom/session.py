@@ -7,15 +7,22 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+# The jobs hold wide projections. Above 8000 bytes of bytecode the JVM never compiles a
+# generated method and interprets it row by row; with this limit Spark splits it instead.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    "spark.sql.parquet.filterPushdown": "true",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Apply the settings the jobs rely on; all of them may change in a running session."""
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def local_session(cpus: int | str = "*", memory: str = "8g") -> SparkSession:
     """A local session for tests and benchmarks; clusters bring their own."""
     builder = SparkSession.builder.master(f"local[{cpus}]").appName("marginloom")

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from marginloom.operators import pools, shipping
 from marginloom.plans.financials import Ledgers
+from marginloom.session import tune
 
 GIVEN = ("orders", "lineitem", "part", "events")
 
@@ -194,7 +195,7 @@ class Workload:
     """The domain tables as DataFrames over one folder of given tables."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+        self.spark, self.folder = tune(spark), folder
         self._tables: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
