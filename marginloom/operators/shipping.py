@@ -12,22 +12,27 @@ from marginloom.plans.skew import join_groups
 SHARE_SCALE = 100_000_000
 
 
+def _has_waybill() -> Column:
+    return F.coalesce(F.col("waybill"), F.lit("")) != ""
+
+
 def waybill_cost(billing: DataFrame) -> DataFrame:
     """Cost of each waybill over all its billing lines."""
-    billed = billing.filter(F.coalesce(F.col("waybill"), F.lit("")) != "")
+    billed = billing.filter(_has_waybill())
     return billed.groupBy("waybill").agg(F.sum(F.coalesce("amount_cents", F.lit(0))).alias("cost_cents"))
 
 
 def waybill_cost_latest(billing: DataFrame) -> DataFrame:
     """Cost of each waybill from its last billing line (by invoice date, then billing id, then amount)."""
-    billed = billing.filter(F.coalesce(F.col("waybill"), F.lit("")) != "")
+    billed = billing.filter(_has_waybill())
     last = F.max(F.struct("invoice_date", "billing_id", "amount_cents"))["amount_cents"]
     return billed.groupBy("waybill").agg(F.coalesce(last, F.lit(0).cast("bigint")).alias("cost_cents"))
 
 
 def linked_waybills(links: DataFrame) -> DataFrame:
     """One record per waybill: its orders counted and the highest order number."""
-    return links.groupBy("waybill").agg(F.count("*").alias("orders"), F.max("order_no").alias("last_order"))
+    known = links.filter(_has_waybill())
+    return known.groupBy("waybill").agg(F.count("*").alias("orders"), F.max("order_no").alias("last_order"))
 
 
 def waybills_matched(costs: DataFrame, links: DataFrame) -> DataFrame:
@@ -50,6 +55,13 @@ def match_counts(costs: DataFrame, links: DataFrame) -> DataFrame:
     return counts.withColumn("may_write", (F.col("billed") == 0) | (F.col("matched") > 0))
 
 
+def _split(costs: DataFrame, links: DataFrame) -> DataFrame:
+    """Every link with its waybill's cost, order count and highest order."""
+    linked = linked_waybills(links)
+    pairs = links.filter(_has_waybill()).select("order_no", "waybill")
+    return join_groups(pairs, costs.join(linked, "waybill"), linked, "waybill", "orders", F.col("order_no"))
+
+
 def _cost_share(cost: Column, orders: Column) -> Column:
     return F.floor(cost / orders + 0.5)
 
@@ -61,7 +73,7 @@ def allocate_shipping(costs: DataFrame, links: DataFrame) -> DataFrame:
     The split needs only the waybill's order count and highest order, so no waybill's
     orders ever meet in one task.
     """
-    split = join_groups(links.select("order_no", "waybill"), waybills_matched(costs, links), "waybill", "orders")
+    split = _split(costs, links)
     share = _cost_share(F.col("cost_cents"), F.col("orders"))
     rest = F.col("cost_cents") - share * (F.col("orders") - 1)
     allocated = F.when(F.col("order_no") == F.col("last_order"), rest).otherwise(share)
@@ -70,7 +82,7 @@ def allocate_shipping(costs: DataFrame, links: DataFrame) -> DataFrame:
 
 def allocate_shipping_tax(costs: DataFrame, links: DataFrame) -> DataFrame:
     """Shipping cost per order as equal, unrounded shares of the tax inside each waybill's cost."""
-    split = join_groups(links.select("order_no", "waybill"), waybills_matched(costs, links), "waybill", "orders")
+    split = _split(costs, links)
     share = money.currency(F.col("cost_cents")) * money.TAX_RATE / money.TAX_BASE / F.col("orders")
     scaled = split.select("order_no", F.floor(share * SHARE_SCALE + 0.5).alias("share"))
     costs_by_order = scaled.groupBy("order_no").agg(F.sum("share").alias("share"))

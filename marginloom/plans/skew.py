@@ -5,27 +5,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Groups that may travel by broadcast. Any group left to the shuffle is lighter than
-# every one of these, so it holds less than 1/HEAVY_GROUPS of all rows.
+# Groups that are cut into parts. Any other group is lighter than every one of these,
+# so it holds less than 1/HEAVY_GROUPS of all rows.
 HEAVY_GROUPS = 1000
 
-# Most parts a group is cut into by a salted join.
+# Most parts a group is cut into.
 MAX_SALTS = 256
 
 
+def _salts(rows: DataFrame) -> int:
+    parallel = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(1, min(MAX_SALTS, parallel))
+
+
+def _salt(spread: Column, salts: int) -> Column:
+    return F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")
+
+
 def join_groups(
-    rows: DataFrame, groups: DataFrame, key: str, weight: str, heavy_groups: int = HEAVY_GROUPS
+    rows: DataFrame, groups: DataFrame, sizes: DataFrame, key: str, weight: str, spread: Column
 ) -> DataFrame:
-    """Join ``rows`` to ``groups`` (one record per ``key``; ``weight`` says how many rows share it).
+    """Join ``rows`` to ``groups`` (one record per ``key``), cutting only the heaviest groups into parts.
 
-    For many groups that are small as a rule. The heaviest are broadcast, at most
-    ``heavy_groups`` records whatever the data size, so their rows stay where they are.
-    All other rows are joined by a shuffle in which no key can be hot.
+    For many groups that are small as a rule. ``sizes`` holds the row count (``weight``) of
+    each key. The keys of the HEAVY_GROUPS largest are broadcast, at most that many records
+    whatever the data size; both sides use them to spread those groups over several tasks.
+    ``spread`` must be a value of the row itself that differs within a group.
     """
-    heavy = groups.filter(F.col(key).isNotNull()).orderBy(F.desc(weight), key).limit(heavy_groups)
-    by_broadcast = rows.join(F.broadcast(heavy), key)
-    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti")
-    return by_broadcast.unionByName(rest.join(groups, key))
+    salts = _salts(rows)
+    heavy = sizes.orderBy(F.desc(weight), key).limit(HEAVY_GROUPS).select(key, F.lit(True).alias("heavy"))
+    marked = rows.join(F.broadcast(heavy), key, "left")
+    salted_rows = marked.withColumn("salt", F.when(F.col("heavy"), _salt(spread, salts)).otherwise(0)).drop("heavy")
+    parts = F.when(F.col("heavy"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    copies = groups.join(F.broadcast(heavy), key, "left").withColumn("salt", F.explode(parts)).drop("heavy")
+    return salted_rows.join(copies, [key, "salt"]).drop("salt")
 
 
 def join_salted(rows: DataFrame, groups: DataFrame, key: str, spread: Column) -> DataFrame:
@@ -34,8 +47,7 @@ def join_salted(rows: DataFrame, groups: DataFrame, key: str, spread: Column) ->
     For few groups with many rows each, such as files. ``spread`` must be a value of the
     row itself that differs within a group; groups are copied once per part.
     """
-    parallel = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    salts = max(1, min(MAX_SALTS, parallel))
-    salted_rows = rows.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    salts = _salts(rows)
+    salted_rows = rows.withColumn("salt", _salt(spread, salts))
     copies = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted_rows.join(copies, [key, "salt"]).drop("salt")
