@@ -81,7 +81,8 @@ def _new_files(batch: DataFrame, store: str, batch_id: int) -> DataFrame:
 
 
 def _file_key(file: Column) -> Column:
-    return F.regexp_extract(file, r"import_id=(\d+)", 1).cast("bigint")
+    """The id in a folder named ``import_id=...``, else a hash of the path."""
+    return F.coalesce(F.regexp_extract(file, r"import_id=(\d+)", 1).try_cast("bigint"), F.xxhash64(file))
 
 
 def ingest_statements(
