@@ -13,7 +13,7 @@ SHARE_SCALE = 100_000_000
 
 
 def _has_waybill() -> Column:
-    return F.coalesce(F.col("waybill"), F.lit("")) != ""
+    return F.col("waybill").isNotNull() & (F.col("waybill") != "")
 
 
 def waybill_cost(billing: DataFrame) -> DataFrame:

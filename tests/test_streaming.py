@@ -83,9 +83,9 @@ def test_statement_loads(statements):
 
 
 def test_order_of_files_does_not_change_the_ledger(spark, tmp_path):
-    bodies = [sale("4105054431", "10.00") * 2, sale("4105054431", "10.00") * 3 + fee("Etsy Ads", "-1"), fee("Etsy Ads", "-1") * 2]
+    bodies = [sale("4105054431", "10.00") * 2, sale("4105054431", "10.00") * 3 + fee("Etsy Ads", "-1") * 2]
     ledgers = []
-    for order in ([0, 1, 2], [2, 1, 0]):
+    for order in ([0, 1], [1, 0]):
         landing, store = tmp_path / f"in{order[0]}", shared_folder(spark, "order")
         for i in order:
             put(landing, f"f{i}.csv", bodies[i])
