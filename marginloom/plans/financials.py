@@ -104,6 +104,19 @@ def order_universe(sales: DataFrame, expenses: DataFrame) -> DataFrame:
     return sold.unionByName(charged).groupBy("order_no").agg(F.min("sale_date").alias("sale_date"))
 
 
+def order_keys(sales: DataFrame, expenses: DataFrame) -> DataFrame:
+    """Every order with its first date and refunds: what orders are filtered and sorted by."""
+    sold = sales.select("order_no", "sale_date")
+    charged = expenses.filter(has_order()).select(
+        "order_no",
+        F.col("expense_date").alias("sale_date"),
+        F.when(F.col("category") == "REFUND", -F.col("net_cents")).alias("refunds"),
+    )
+    facts = sold.unionByName(charged, allowMissingColumns=True)
+    refunds = F.coalesce(F.sum("refunds"), F.lit(0).cast("bigint"))
+    return facts.groupBy("order_no").agg(F.min("sale_date").alias("sale_date"), refunds.alias("refunds"))
+
+
 def order_facts(t: Ledgers) -> DataFrame:
     """All fact sources as rows of order number, date and measures; absent measures are null."""
     listed = F.lit(1).alias("listed")

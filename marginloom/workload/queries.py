@@ -403,7 +403,7 @@ def order_breakdown(w):
 
 @query
 def orders_page(w):
-    return reports.orders_page(_fin(w, with_waybills=True), FIRST, LAST, query="1", refunded_only=True, page=2, page_size=25)
+    return reports.orders_page(w.ledgers, FIRST, LAST, query="1", refunded_only=True, page=2, page_size=25)
 
 
 @query
