@@ -44,7 +44,7 @@ BILLING_LAYOUTS = [
 ]
 
 
-def _write_layouts(lines: DataFrame, layouts: list[dict[str, str]], path: str) -> str:
+def write_layouts(lines: DataFrame, layouts: list[dict[str, str]], path: str) -> str:
     """CSV files below one folder per import, whose header depends on the import."""
     for number, layout in enumerate(layouts):
         part = lines.filter(F.col("import_id") % len(layouts) == number)
@@ -55,11 +55,11 @@ def _write_layouts(lines: DataFrame, layouts: list[dict[str, str]], path: str) -
 
 
 def land_statements(w: Workload) -> str:
-    return _write_layouts(w.statement_lines, STATEMENT_LAYOUTS, shared_folder(w.spark, "statements"))
+    return write_layouts(w.statement_lines, STATEMENT_LAYOUTS, shared_folder(w.spark, "statements"))
 
 
 def land_billing(w: Workload) -> str:
-    return _write_layouts(w.billing_lines, BILLING_LAYOUTS, shared_folder(w.spark, "billing"))
+    return write_layouts(w.billing_lines, BILLING_LAYOUTS, shared_folder(w.spark, "billing"))
 
 
 def sheet_cells(w: Workload) -> DataFrame:

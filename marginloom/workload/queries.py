@@ -446,7 +446,7 @@ def _statement_store(w):
     landed, store = shared_folder(w.spark, "landing"), shared_folder(w.spark, "statement-store")
     for part in ("import_id < 1998000", "import_id >= 1998000"):
         lines = w.statement_lines.filter(part)
-        landing._write_layouts(lines, landing.STATEMENT_LAYOUTS, landed)
+        landing.write_layouts(lines, landing.STATEMENT_LAYOUTS, landed)
         incremental.ingest_statements(w.spark, landed, store)
     return store
 
@@ -470,7 +470,7 @@ def ingest_pool_allocations(w):
 def ingest_billing(w):
     landed, store = shared_folder(w.spark, "landing"), shared_folder(w.spark, "billing-store")
     for part in ("import_id < 199800", "import_id >= 199800"):
-        landing._write_layouts(w.billing_lines.filter(part), landing.BILLING_LAYOUTS, landed)
+        landing.write_layouts(w.billing_lines.filter(part), landing.BILLING_LAYOUTS, landed)
         incremental.ingest_billing(w.spark, landed, store, w.order_shipments)
     rows = incremental.committed(w.spark, store, "billing", incremental.BILLING_ROWS)
     return _money(shipping.waybill_cost(rows), "cost_cents")

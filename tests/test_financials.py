@@ -2,7 +2,6 @@ import datetime as dt
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from marginloom.operators import activity, inventory, ledger, quality, reports
 from marginloom.plans import financials
