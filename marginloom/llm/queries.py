@@ -6,16 +6,46 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginloom.llm import near_dedup
+from marginloom.llm import line_dedup, near_dedup, pii, sharding
 from marginloom.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_counts(read_table(spark, sf_dir, "documents"))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.span_table(read_table(spark, sf_dir, "documents"))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_table(read_table(spark, sf_dir, "documents"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.link_groups(read_table(spark, sf_dir, "documents"), width=4)
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op10_minhash_near_dedup,)}
-
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_line_dedup, op7_pii, op9_sharding, op10_minhash_near_dedup)}
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": """
+        with texts as (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+        lines as (select doc_id, unnest(lines) as line, generate_subscripts(lines, 1) as place from texts),
+        keys as (
+            select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+            from lines),
+        common as (
+            select key, max(doc_id) as holder from keys where length(key) >= 20
+            group by key having count(distinct doc_id) >= 3),
+        judged as (
+            select doc_id, place, line, holder is not null and holder <> doc_id as lost
+            from keys left join common using (key))
+        select doc_id, count(*) as n_lines, count(*) filter (where lost) as n_dropped,
+            sha256(coalesce(string_agg(line, chr(10) order by place) filter (where not lost), '')) as kept_sha256
+        from judged group by doc_id
+    """,
+}
