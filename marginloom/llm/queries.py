@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginloom.llm import line_dedup, near_dedup, pii, sharding
+from marginloom.llm import ann, bpe, line_dedup, near_dedup, packing, pii, quality_rules, sharding, url_filters, warc
 from marginloom.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,10 +16,34 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_counts(read_table(spark, sf_dir, "documents"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_table(read_table(spark, sf_dir, "documents"))
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(read_table(spark, sf_dir, "documents"))
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judged_urls(read_table(spark, sf_dir, "pages"))
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(read_table(spark, sf_dir, "documents"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_table(read_table(spark, sf_dir, "pages"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_table(read_table(spark, sf_dir, "documents"))
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search_table(read_table(spark, sf_dir, "embeddings"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_table(read_table(spark, sf_dir, "documents"))
 
@@ -28,7 +52,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.link_groups(read_table(spark, sf_dir, "documents"), width=4)
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_line_dedup, op7_pii, op9_sharding, op10_minhash_near_dedup)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_line_dedup, op2_quality_rules, op3_best_fit_packing, op4_url_filters, op5_bpe, op6_warc, op7_pii, op8_ann, op9_sharding, op10_minhash_near_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": """

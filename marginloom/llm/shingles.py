@@ -44,19 +44,35 @@ class _Powers:
         return cls.up[:n], cls.down[:n]
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and where each text's words start (one more entry than texts)."""
-    joined = b"\n".join(texts).lower() + b"\n"
-    data = np.frombuffer(joined, np.uint8)
-    space = _SPACE[data]
-    edge = np.flatnonzero(np.diff(space, prepend=True))
-    starts, ends = edge[::2], edge[1::2]
-    up, down = _Powers.at_least(len(data) + 1)
-    prefix = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=prefix[1:])
-    hashes = mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    begins = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
-    return hashes, np.searchsorted(starts, begins)
+class Words:
+    """The words of some texts: byte ranges in ``data``, hashes, and where each text's words start in ``at``."""
+
+    def __init__(self, texts: list[bytes], lower: bool = True):
+        joined = b"\n".join(texts) + b"\n"
+        self.data = np.frombuffer(joined.lower() if lower else joined, np.uint8)
+        self.space = _SPACE[self.data]
+        edge = np.flatnonzero(np.diff(self.space, prepend=True))
+        self.starts, self.ends = edge[::2], edge[1::2]
+        up, down = _Powers.at_least(len(self.data) + 1)
+        prefix = np.zeros(len(self.data) + 1, np.uint64)
+        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=prefix[1:])
+        lengths = (self.ends - self.starts).astype(np.uint64)
+        self.hashes = mix((prefix[self.ends] - prefix[self.starts]) * down[self.starts] + lengths * np.uint64(0xD6E8FEB86659FD93))
+        self.begins = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])  # of the texts, in bytes
+        self.at = np.searchsorted(self.starts, self.begins)
+
+    def windows(self, width: int) -> np.ndarray:
+        """Hashes of all runs of ``width`` words, those across texts included; at least ``width`` words are needed."""
+        weights = window_weights(width)
+        n = max(0, len(self.hashes) - width + 1)
+        rolled = np.zeros(n, np.uint64)
+        for k in range(width):
+            rolled += self.hashes[k : k + n] * weights[k]
+        return mix(rolled)
+
+
+def window_weights(width: int) -> np.ndarray:
+    return mix(np.arange(1, width + 1, dtype=np.uint64) * _BASE) | np.uint64(1)
 
 
 def chunks(texts: Iterator[bytes]) -> Iterator[tuple[int, list[bytes]]]:
@@ -78,22 +94,18 @@ def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     A text of fewer than ``width`` words is one shingle of all its words; a text without
     words has none.
     """
-    weights = mix(np.arange(1, width + 1, dtype=np.uint64) * _BASE) | np.uint64(1)
+    weights = window_weights(width)
     out: list[np.ndarray] = []
     for _, held in chunks(iter(texts)):
-        words, at = word_hashes(held)
-        n = max(0, len(words) - width + 1)
-        rolled = np.zeros(n, np.uint64)
-        for k in range(width):
-            rolled += words[k : k + n] * weights[k]
-        rolled = mix(rolled)
-        for begin, end in zip(at[:-1], at[1:], strict=True):
+        words = Words(held)
+        rolled = words.windows(width)
+        for begin, end in zip(words.at[:-1], words.at[1:], strict=True):
             count = end - begin
             if count >= width:
                 out.append(np.unique(rolled[begin : end - width + 1]))
             elif count:
-                short = (words[begin:end] * weights[:count]).sum(dtype=np.uint64, keepdims=True) + np.array([count], np.uint64) * _BASE
-                out.append(mix(short))
+                short = (words.hashes[begin:end] * weights[:count]).sum(dtype=np.uint64, keepdims=True)
+                out.append(mix(short + np.array([count], np.uint64) * _BASE))
             else:
                 out.append(np.zeros(0, np.uint64))
     return out
