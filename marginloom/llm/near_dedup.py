@@ -33,13 +33,18 @@ from marginloom.llm.common import for_python, stored
 from marginloom.llm.graph import components
 from marginloom.llm.shingles import mix, shingle_sets
 
-# Values of which one chunk of documents holds LOCAL_COMMON and the corpus COMMON are ordered last.
-LOCAL_COMMON = 3
-COMMON = 32
-CHUNK_VALUES = 1 << 21
+# Values that a chunk of documents holds LOCAL_COMMON times, and all such chunks COMMON times, are
+# ordered last. A sketch holds low values, so only a little more than that range is counted.
+LOCAL_COMMON = 2
+COMMON = 16
+COUNTED_RANGE = 1.75
+CHUNK_VALUES = 1 << 22
 BITMAP_BITS = 1 << 24
 
-SMALL_LIST = 32
+# Longest list that gives pairs. If unmarked longer lists hold more than REBUILD_SHARE of the
+# documents, their values are marked as well and the sketches are built once more.
+SMALL_LIST = 64
+REBUILD_SHARE = 0.01
 BLOCK_DOCS = 1024
 
 SHOWN = "kind int, doc_id bigint, n bigint, f1 bigint, f2 bigint"
@@ -55,9 +60,11 @@ def _fingerprint(values: np.ndarray) -> tuple[int, int]:
     return int(first.sum(dtype=np.uint64).view(np.int64)), int(second.sum(dtype=np.uint64).view(np.int64))
 
 
-def _sets_and_common(width: int):
+def _sets_and_common(width: int, percent: int):
     """Per document its set's size and fingerprint; per chunk of documents the values it holds often."""
 
+    counted = np.uint64(int(min(1.0, COUNTED_RANGE * (100 - percent) / 100) * (2**64 - 1)))
+
     def common(held: list[np.ndarray]) -> pa.RecordBatch:
         values, counts = np.unique(np.concatenate(held), return_counts=True)
         often = counts >= LOCAL_COMMON
@@ -77,8 +84,9 @@ def _sets_and_common(width: int):
             for s, p in zip(sets, prints, strict=True):
                 if p not in seen:
                     seen.add(p)
-                    held.append(s)
-                    size += len(s)
+                    low = s[: np.searchsorted(s, counted)]
+                    held.append(low)
+                    size += len(low)
                     if size >= CHUNK_VALUES:
                         yield common(held)
                         held, size, seen = [], 0, set()
@@ -101,8 +109,12 @@ def _cell(hashed):
 def _bitmap(common: DataFrame) -> np.ndarray:
     """A bit for every common value, in an array whose size does not depend on the data."""
     often = common.groupBy("f1").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON)
+    return _collected(_words(often.select(_cell("f1").alias("cell"))))
+
+
+def _collected(words: DataFrame) -> np.ndarray:
     out = np.zeros(BITMAP_BITS // 64, np.int64)
-    for word, bits in _words(often.select(_cell("f1").alias("cell"))).collect():
+    for word, bits in words.collect():
         out[word] = bits
     return out
 
@@ -154,6 +166,20 @@ def _sketches(width: int, percent: int, bitmap):
     return run
 
 
+def _lists(texts: DataFrame, nodes: DataFrame, width: int, percent: int, bitmap: np.ndarray) -> DataFrame:
+    """The inverted lists of two and more documents: value, doc_id, n, docs, first, is_long."""
+    shared = texts.sparkSession.sparkContext.broadcast(bitmap)
+    sketches = texts.mapInArrow(_sketches(width, percent, shared), "doc_id bigint, n bigint, sketch array<bigint>")
+    alone = sketches.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    of_list = Window.partitionBy("value")
+    lists = (
+        alone.select("doc_id", "n", F.explode("sketch").alias("value"))
+        .select("value", "doc_id", "n", F.count("*").over(of_list).alias("docs"), F.min("doc_id").over(of_list).alias("first"))
+        .filter("docs > 1")
+    )
+    return stored(lists.withColumn("is_long", F.col("docs") > SMALL_LIST), "lists", "is_long")
+
+
 def _pairs_of_lists(percent: int):
     """Pairs (a, b), a before b, of the rows of each list; equal pairs of a batch are counted together."""
 
@@ -288,7 +314,7 @@ def link_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     spark = docs.sparkSession
     for_python(spark)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    scanned = stored(texts.mapInArrow(_sets_and_common(width), SHOWN), "sets", "kind")
+    scanned = stored(texts.mapInArrow(_sets_and_common(width, percent), SHOWN), "sets", "kind")
     sets = scanned.filter("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "f1", "f2")
 
     full = sets.filter("n_shingles > 0 and doc_id is not null")
@@ -296,16 +322,12 @@ def link_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     nodes = stored(classes, "classes")
 
     common = scanned.filter("kind = 1").select("f1", "n")
-    bitmap = spark.sparkContext.broadcast(_bitmap(common))
-    sketches = texts.mapInArrow(_sketches(width, percent, bitmap), "doc_id bigint, n bigint, sketch array<bigint>")
-    alone = sketches.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    of_list = Window.partitionBy("value")
-    lists = (
-        alone.select("doc_id", "n", F.explode("sketch").alias("value"))
-        .select("value", "doc_id", "n", F.count("*").over(of_list).alias("docs"), F.min("doc_id").over(of_list).alias("first"))
-        .filter("docs > 1")
-    )
-    lists = stored(lists.withColumn("is_long", F.col("docs") > SMALL_LIST), "lists", "is_long")
+    bitmap = _bitmap(common)
+    lists = _lists(texts, nodes, width, percent, bitmap)
+    unmarked = lists.filter("is_long and value >= 0")  # the highest bit marks common values
+    if unmarked.select("doc_id").distinct().count() > REBUILD_SHARE * nodes.count():
+        more = unmarked.select(F.shiftright("value", 63 - (BITMAP_BITS.bit_length() - 1)).alias("cell"))
+        lists = _lists(texts, nodes, width, percent, bitmap | _collected(_words(more)))
 
     met = (
         lists.filter("not is_long")
