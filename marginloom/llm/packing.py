@@ -27,9 +27,10 @@ TOKENS = 2048
 END_ID = 0
 VOCABULARY = "byte_bpe_50k.json"
 GROUP_PIECES = 20_000
-# A sequence the local search empties looks at so many others, those with most space first.
-NEIGHBOURS = 1000
-GIVE_UP = 8
+# Bounds of the neighbourhood that the local search looks at; no piece depends on them, only the number of sequences.
+ATTEMPTS = 64
+NEIGHBOURS = 256
+PASSES = 32
 # Sequences below this fill are packed once more with those of other groups.
 OPEN_PERCENT = 97
 
@@ -108,27 +109,23 @@ def _best_exchange(full: list[tuple[int, int]], low: list[tuple[int, int]], free
 
 
 def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
-    """Empty the emptiest sequences by exchanges that raise the sum of squared fills.
+    """Exchange pieces between underfull sequences while that raises the sum of squared fills.
 
-    Ends when no fewer sequences could hold the tokens, when the free space of all others
-    is less than the emptiest one holds, or when GIVE_UP in a row could not be emptied.
+    Goes through the ATTEMPTS emptiest sequences, each of which gives tokens to the
+    NEIGHBOURS emptiest of the fuller ones, until no fewer sequences could hold the tokens,
+    nothing improves, or PASSES are over.
     """
     held = [sorted((int(lengths[i]), i) for i in b) for b in bins]
     fill = [sum(n for n, _ in b) for b in held]
-    total = sum(fill)
-    least = -(-total // capacity)
-    order = sorted((b for b in range(len(held)) if fill[b] < capacity), key=lambda b: fill[b])
-    count, failed = len(held), 0
-    for place, low in enumerate(order):
-        if count == least or failed == GIVE_UP or not held[low]:
-            break
-        others = sorted(order[place + 1 :], key=lambda b: fill[b])
-        if sum(capacity - fill[b] for b in others) < fill[low]:
-            break
-        improved = True
-        while improved and held[low]:
-            improved = False
-            for full in others[:NEIGHBOURS]:
+    least = -(-sum(fill) // capacity)
+    count, improved, passes = len(held), True, 0
+    while improved and count > least and passes < PASSES:
+        improved, passes = False, passes + 1
+        order = sorted((b for b in range(len(held)) if 0 < fill[b] < capacity), key=lambda b: fill[b])
+        for place, low in enumerate(order[:ATTEMPTS]):
+            for full in sorted(order[place + 1 : place + 1 + NEIGHBOURS], key=lambda b: fill[b]):
+                if not held[low] or count == least:
+                    break
                 if fill[full] >= capacity or fill[full] < fill[low]:
                     continue
                 gain, taken, given = _best_exchange(held[full], held[low], capacity - fill[full])
@@ -142,9 +139,7 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> l
                     fill[full] += gain
                     fill[low] -= gain
                     improved = True
-                    if not held[low]:
-                        break
-        count, failed = (count, failed + 1) if held[low] else (count - 1, 0)
+            count = sum(map(bool, held)) if not held[low] else count
     return [[i for _, i in b] for b in held if b]
 
 

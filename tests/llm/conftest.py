@@ -1,0 +1,59 @@
+import pytest
+
+ODD = "doc_id bigint, text string, lang string, source string, n_chars int, places int, node string, spread int, size string, label map<string,int>"
+
+LINE = "The same long licence line stands in many documents"
+LONG = "Long text with many words. " * 4000
+PASSAGE = " ".join(f"shared{i}" for i in range(60))
+
+
+def odd_rows():
+    """Nulls, empty and very long texts, ties, repeated rows, near and exact copies, columns with clashing names."""
+    base = " ".join(f"word{i}" for i in range(100))
+    texts = {
+        1: None,
+        2: "",
+        3: " \n\t \n",
+        4: LONG,
+        5: f"{LINE}\nOnly here, a line of its own words {PASSAGE}",
+        6: f"  {LINE.upper()} \nAnother document with words of its own, but few",
+        7: f"{LINE}\n{LINE}\nA third one, with the line twice and some more words to say",
+        8: base,
+        9: base,
+        10: base.replace("word50", "other50"),
+        11: base.replace("word50", "other50").replace("word7 ", "else7 "),
+        12: "one two",
+        13: "ONE  two",
+        14: "Mail bob.smith@mail.example.com or x@y.z_w@v.u, call +1 (988) 555-2485 from 42.144.35.254 with 4041894974608795",
+        15: "Version 1.2.3.400 and 300.1.1.1, +12 34, a@b, 4041 8949 7460 8796 and +44 20 7946 0958 é\U0001f600 a.b@c.de",
+        16: "line one of a page that repeats\n" * 30,
+        17: "#### $$$$ %%%% && || <> ** " * 5 + " ".join(f"w{i}" for i in range(30)),
+        18: f"{PASSAGE} {' '.join(f'only{i}' for i in range(200))}",
+        19: f"{PASSAGE} {' '.join(f'mine{i}' for i in range(200))}",
+        20: "x" * 30000 + " é" * 10 + "日本語" * 50,
+    }
+    rows = [(i, t, "en", f"src{i % 3}", len(t or ""), i, "n", i, "s", {"a": 1}) for i, t in texts.items()]
+    rows.append((21, texts[5], None, None, None, None, None, None, None, None))
+    return rows
+
+
+@pytest.fixture(scope="session")
+def odd(spark):
+    return spark.createDataFrame(odd_rows(), ODD).repartition(3)
+
+
+@pytest.fixture(scope="session")
+def odd_twice(odd):
+    """With every row repeated and rows without a doc_id."""
+    nameless = odd.filter("doc_id in (5, 8, 14)").selectExpr("cast(null as bigint) doc_id", *[c for c in odd.columns if c != "doc_id"])
+    return odd.unionByName(odd).unionByName(nameless)
+
+
+@pytest.fixture(scope="session")
+def small(spark):
+    return spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+
+
+@pytest.fixture
+def pairs():
+    return lambda df: [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]

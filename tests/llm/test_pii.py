@@ -1,0 +1,56 @@
+from collections import Counter
+
+from marginloom.llm import pii
+from tests.llm import plain
+
+
+def test_base_spans_match_plain(odd_twice, small, pairs):
+    docs = odd_twice.select("doc_id", "text").unionByName(small.select("doc_id", "text"))
+    want = Counter()
+    for i, t in pairs(docs):
+        spans = plain.base_spans(t)
+        kinds = Counter(k for k, _, _ in spans)
+        want[(i, *[kinds[k] for k in pii.BASE_KINDS], plain.sha(",".join(f"{k}:{s}:{e}" for k, s, e in spans)))] += 1
+    rows = pii.span_table(docs).collect()
+    assert Counter(tuple(r)[:6] for r in rows) == want
+    texts = {}
+    for i, t in pairs(docs):
+        texts.setdefault(i, set()).add(tuple(f"{k}:{s}:{e}" for k, s, e in plain.base_spans(t)))
+    assert all(any(set(base) <= set(r.spans.split(",")) for base in texts[r.doc_id]) for r in rows)
+
+
+def test_extra_spans_follow_the_votes(spark):
+    rows = [(i, f"For help call {200 + i}-555-{1000 + i} or phone +1 ({300 + i}) 555-{2000 + i} today") for i in range(40)]
+    rows += [(100 + i, f"Version part x{i}000-000-{1000 + i}y of page 0{i % 10}1-155-{1000 + i}") for i in range(40)]
+    rows += [(200, "Nothing private is written in this text")]
+    out = {r.doc_id: r for r in pii.span_table(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert sum(out[i].spans.count("phone") == 2 for i in range(40)) >= 36
+    assert all(out[i].n_phone == 1 for i in range(40))
+    assert sum(bool(out[100 + i].spans) for i in range(40)) <= 4
+    assert out[200].spans == ""
+
+
+def test_estimate_separates():
+    chance = pii.estimate({("phone", "+++0"): 50, ("phone", "++00"): 30, ("phone", "-0--"): 60, ("phone", "-00-"): 20})
+    assert chance["phone", "+++0"] > 0.95 > 0.05 > chance["phone", "-0--"]
+
+
+def test_redaction(odd):
+    out = pii.redacted(odd)
+    assert out.columns == odd.columns
+    rows = {r.doc_id: r for r in out.collect()}
+    before = {r.doc_id: r for r in odd.collect()}
+    assert rows[14].text == "Mail <email> or <email><email>, call <phone> from <ip> with <card>"
+    assert rows[14].n_chars == len(rows[14].text)
+    assert rows[1].text is None
+    assert all(rows[i].text == before[i].text for i in (2, 3, 4, 5, 8, 16, 20, 21))
+    assert not any(plain.base_spans(r.text) for r in rows.values())
+
+
+def test_empty_and_long(spark, odd):
+    assert pii.span_table(odd.limit(0)).count() == 0
+    hard = ["a" * 50_000 + "@", "a@" + "b." * 20_000 + "c", "1" * 50_000, "1." * 30_000, "+1" + " (" * 20_000, "9 " * 20_000, "Dr. " * 10_000]
+    docs = spark.createDataFrame(list(enumerate(hard)), "doc_id bigint, text string")
+    got = {r.doc_id: r.base_sha256 for r in pii.span_table(docs).collect()}
+    want = {1: [("email", 0, 40_003)], 3: [("ip", 8 * k, 8 * k + 7) for k in range(7500)]}
+    assert got == {i: plain.sha(",".join(f"{k}:{s}:{e}" for k, s, e in want.get(i, []))) for i in range(len(hard))}

@@ -1,0 +1,30 @@
+"""The registered queries: SQL where there is any, the operators' own checks otherwise."""
+
+import duckdb
+import pytest
+
+import check
+from __spark_entry__ import oracle_sql, queries
+from marginloom.llm.queries import ORACLE_SQL, QUERIES
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+def test_registered():
+    assert set(QUERIES) <= set(queries()) and "pipeline" in queries()
+    assert [int(name[2:].split("_")[0]) for name in QUERIES] == list(range(1, 11))
+    assert set(ORACLE_SQL) <= set(oracle_sql())
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_sql(spark, name):
+    con = duckdb.connect()
+    for table in ("documents", "pages", "embeddings"):
+        con.execute(f"create view {table} as select * from '{FOLDER}/{table}.parquet'")
+    assert check.compare(spark, con, FOLDER, name).startswith("equal")
+
+
+@pytest.mark.parametrize("name", ["op1_line_dedup", "op7_pii", "op9_sharding"])
+def test_native_plans_have_no_python(spark, name):
+    plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "CartesianProduct", "BroadcastNestedLoopJoin"))

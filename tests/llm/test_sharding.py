@@ -1,0 +1,48 @@
+import zlib
+from collections import Counter, defaultdict
+
+from marginloom.llm import sharding
+
+
+def test_law_and_slots(odd_twice, small):
+    docs = odd_twice.select("doc_id", "text").unionByName(small.selectExpr("doc_id + 1000 doc_id", "text"))
+    rows = sharding.shard_table(docs).collect()
+    want = Counter((r.doc_id, len((r.text or "").encode()) + 8, zlib.crc32((r.text or "").encode())) for r in docs.collect())
+    assert Counter((r.doc_id, r["size"], r.text_crc32) for r in rows) == want
+    slots, shard = defaultdict(list), defaultdict(set)
+    for r in rows:
+        slots[r.shard].append(r.slot)
+        shard[r.doc_id].add((r.shard, r.grown_shard))
+        assert r.law == "key" and 0 <= r.shard < 24 and r.grown_shard in (r.shard, 24)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert all(len(s) == 1 for s in shard.values())
+    alone = {r.doc_id: r.shard for r in sharding.shard_table(docs.filter("doc_id < 8")).collect()}
+    assert all(shard[i] == {(s, g)} for i, s in alone.items() for _, g in shard[i])
+
+
+def test_many_buckets_are_shuffled(spark):
+    docs = spark.range(0, 4000, 1, 4).selectExpr("id doc_id", "repeat('x', 100) text")
+    rows = sharding.shuffled(docs, shards=2, bucket_bytes=10_000).collect()
+    assert len({(r.shard, r.bucket) for r in rows}) > 20
+    for s in (0, 1):
+        order = [r.doc_id for r in sorted((r for r in rows if r.shard == s), key=lambda r: r.slot)]
+        rising = sum(a < b for a, b in zip(order, order[1:], strict=False)) / len(order)
+        assert 0.4 < rising < 0.6
+    counts = Counter((r.shard, r.bucket) for r in rows)
+    assert max(counts.values()) < 2.5 * len(rows) / len(counts)
+
+
+def test_one_more_shard_takes_its_share(spark):
+    rows = spark.range(20_000).select(
+        sharding.shard_of(sharding.F.col("id"), 24).alias("a"), sharding.shard_of(sharding.F.col("id"), 25).alias("b")
+    )
+    moved = rows.filter("a <> b")
+    assert moved.filter("b <> 24").isEmpty() and 600 < moved.count() < 1000
+
+
+def test_columns_and_files(spark, odd, tmp_path):
+    out = sharding.shuffled(odd)
+    assert set(odd.columns) <= set(out.columns) and out.count() == odd.count()
+    sharding.write_shards(out, str(tmp_path / "shards"))
+    assert spark.read.parquet(str(tmp_path / "shards")).count() == odd.count()
+    assert sharding.shard_table(odd.limit(0)).count() == 0

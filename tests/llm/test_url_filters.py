@@ -1,0 +1,47 @@
+from collections import Counter
+
+from marginloom.llm import url_filters
+from tests.llm import plain
+
+ODD = [None, "", "no scheme", "http://", "HTTP://WWW.Example.ORG/es/1", "http://example.org/es", "http://a.example.org/en/17?x=/es/", "x://org/", "x://org", "x://notorg/a"]
+ODD += ["ftp://shop.com/de/5#top", "http://shop.com/fr/", "http://com/fr/x", "http://b.com?u=://c.org/", "http://É.org/p", "a://b://c.org/x", "http://example.org/en/1"]
+
+
+def test_rules_match_plain(spark):
+    pages = spark.createDataFrame([(i, u, "h", "v") for i, u in enumerate(ODD)] * 2 + [(None, "http://x.org/", "h", "v")], "page_id bigint, url string, host string, verdict string")
+    for table in (pages, spark.read.parquet("/root/testdata/sf0.01/pages.parquet")):
+        want = Counter()
+        for r in table.collect():
+            host, path = plain.host_and_path(r.url)
+            want[(r.page_id, host, path, *plain.rule_of(host, path, url_filters.RULES))] += 1
+        rows = url_filters.judged_urls(table).collect()
+        got = Counter((r.page_id, r.host, r.path, r.rule, r.verdict if r.rule else None) for r in rows)
+        assert got == want
+        assert all(r.verdict in ("allow", "block") for r in rows)
+
+
+def test_templates_and_purity(spark):
+    rows = [(i, f"http://h.net/shop/item-{i}/view", i % 3 == 0) for i in range(300)]
+    rows += [(1000 + i, f"http://h.net/spam/{i}/x", True if i % 2 else None) for i in range(200)]
+    rows += [(2000 + i, f"http://h.net/casino/{i}/x", True if i % 2 else None) for i in range(200)]
+    rows += [(3000 + i, f"http://other.net/spam/{i}/x", None) for i in range(50)]
+    pages = spark.createDataFrame([(i, u) for i, u, _ in rows], "page_id bigint, url string")
+    labels = spark.createDataFrame([(i, b) for i, _, b in rows if b is not None], "page_id bigint, bad boolean")
+    out = {r.page_id: r for r in url_filters.judged_urls(pages, rules=[], labels=labels).collect()}
+    assert out[0].template == "/shop/*/view" and out[1000].template == "/spam/*/x"
+    assert all(out[1000 + i].verdict == out[2000 + i].verdict == "block" for i in range(200))
+    assert all(out[i].verdict == "allow" for i in range(300))
+    assert all(out[3000 + i].verdict == "allow" for i in range(50))
+
+
+def test_alike_branches_are_merged(spark):
+    counts = [("h", "/a/*", 10, 10), ("h", "/b/*", 9, 10), ("h", "/c/*", 0, 10), ("h", "/d/*", 0, 0)]
+    frame = spark.createDataFrame(counts, "host string, template string, bad long, labelled long")
+    merged = {r.template: r.branch for r in url_filters._merged(frame).collect()}
+    assert set(merged) == {"/a/*", "/b/*", "/c/*"} and merged["/c/*"] == "/c/*"
+    alike = spark.createDataFrame([("h", "/a/*", 9, 10), ("h", "/b/*", 10, 10)], frame.schema)
+    assert {r.branch for r in url_filters._merged(alike).collect()} == {"/*/*"}
+
+
+def test_empty_table(spark):
+    assert url_filters.judged_urls(spark.createDataFrame([], "page_id bigint, url string")).count() == 0

@@ -1,0 +1,93 @@
+import io
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql.datasource import EqualTo, GreaterThan, In, Not, StringStartsWith
+
+from marginloom.llm import warc
+
+SCHEMA = "page_id bigint, url string, html string, payload binary, refers_to bigint, digest string"
+
+
+@pytest.fixture(scope="module")
+def pages(spark):
+    long = "<p>long page</p>" * 50_000
+    rows = [(1, "http://a/1", "same"), (2, "http://a/2", "same"), (3, None, "same"), (4, "http://b/\r\nX: y", ""), (5, "u", None)]
+    rows += [(6, "http://c/6", long), (7, "http://c/7", long), (8, "é", "only é\r\n\r\nWARC/1.1\r\n"), (2, "http://a/2", "same"), (None, "n", "same")]
+    rows += [(20 + i, f"http://d/{i}", f"page {i}") for i in range(30)]
+    return spark.createDataFrame([(*r, None, 1, "d") for r in rows], SCHEMA).repartition(4)
+
+
+def _want(rows):
+    by = defaultdict(list)
+    for r in rows:
+        by[(r.html or "").encode()].append(r.page_id)
+    out = Counter()
+    for payload, ids in by.items():
+        last = max((i for i in ids if i is not None), default=None)
+        for i in ids:
+            refers = last if last is not None and i != last else None
+            out[(i, len(payload), warc.payload_digest(payload), "response" if refers is None else "revisit", refers)] += 1
+    return out
+
+
+def test_round_trip(pages):
+    rows = warc.archive_table(pages).collect()
+    assert Counter(tuple(r) for r in rows) == _want(pages.collect())
+
+
+def test_given_pages(spark):
+    table = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    assert Counter(tuple(r) for r in warc.archive_table(table).collect()) == _want(table.collect())
+    assert warc.archive_table(table.limit(0)).count() == 0
+
+
+def test_payloads_filters_and_files(spark, pages, tmp_path):
+    path = str(tmp_path / "archive")
+    warc.register(spark)
+    warc.revisits(pages).write.format("warc").mode("append").option("file_bytes", 2000).save(path)
+    html = {r.page_id: (r.html or "").encode() for r in pages.collect()}
+    read = spark.read.format("warc").option("partition_bytes", 4000).load(path)
+    assert read.rdd.getNumPartitions() > 1
+    found = read.filter("record_type = 'response' and page_id > 19").collect()
+    assert {r.page_id: bytes(r.payload) for r in found} == {i: h for i, h in html.items() if i and i > 19}
+    starts = read.filter("target_uri like 'http://a/%' and refers_to is not null").collect()
+    assert {r.page_id for r in starts} == {1, 2} and all(r.payload is None for r in starts)
+    assert read.filter("page_id = 4").first().target_uri == "http://b/%0D%0AX: y"
+
+
+def test_small_payloads_stay(pages):
+    rows = warc.revisits(pages, min_bytes=100).collect()
+    assert {r.page_id for r in rows if r.refers_to} == {6}
+
+
+class Counting(io.BytesIO):
+    taken = 0
+
+    def read(self, n=-1):
+        self.taken += max(0, n)
+        return super().read(n)
+
+
+def test_unwanted_payloads_are_skipped():
+    payload = b"".join(b"%d " % (i * i) for i in range(50_000))
+    data = b"".join(warc.record_bytes(i, "u", payload, None) for i in range(5))
+    for wanted, with_payload, times in ((lambda r: r["page_id"] == 3, True, 1), (lambda r: True, False, 0)):
+        stream = Counting(data)
+        rows = list(warc.read_records(stream, wanted, with_payload))
+        assert len(rows) == (1 if with_payload else 5) and all(r["payload"] == (payload if with_payload else None) for r in rows)
+        assert (stream.taken > 0) == bool(times) and stream.taken < len(data) / 4
+
+
+def test_damaged_payload_is_found():
+    data = warc.record_bytes(1, "u", b"some text", None).replace(warc.payload_digest(b"some text").encode(), warc.payload_digest(b"x").encode())
+    with pytest.raises(ValueError, match="digest"):
+        list(warc.read_records(io.BufferedReader(io.BytesIO(data)), lambda r: True, True))
+
+
+def test_pushed_filters():
+    record = {"record_type": "response", "page_id": None, "target_uri": "http://a"}
+    checks = [EqualTo(("record_type",), "response"), Not(EqualTo(("record_type",), "revisit")), StringStartsWith(("target_uri",), "http")]
+    assert all(warc._test(f)(record) for f in checks)
+    assert not any(warc._test(f)(record) for f in (GreaterThan(("page_id",), 1), Not(In(("page_id",), (1,)))))
+    assert warc._test(EqualTo(("payload",), b"")) is None
