@@ -30,6 +30,7 @@ BLANK = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 HASH = ["h1", "h2"]
+RUN = "h1 bigint, h2 bigint, docs bigint, holder bigint"
 
 
 def line_key(line: Column) -> Column:
@@ -88,7 +89,7 @@ class LineRuns:
     def _merged(self, names: list[str]) -> DataFrame:
         # Read as plain files: Spark 4.1 takes a union of bucketed tables for partitioned by bucket even
         # where it then reads them without buckets, and sums come out wrong.
-        rows = self.spark.read.parquet(*[f"{self.path}/{name}" for name in names])
+        rows = self.spark.read.schema(RUN).parquet(*[f"{self.path}/{name}" for name in names])
         return rows.groupBy(*HASH).agg(F.sum("docs").alias("docs"), F.max("holder").alias("holder"))
 
     def lines(self) -> DataFrame:

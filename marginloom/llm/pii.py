@@ -318,13 +318,14 @@ def redacted(docs: DataFrame) -> DataFrame:
         return F.struct(F.greatest(held["at"], s["end"]).alias("at"), done.alias("done"))
 
     clean = F.aggregate("spans", start, step, lambda held: F.concat(held["done"], F.substr(text, held["at"] + 1, F.length(text))))
-    changed = (F.size("spans") > 0) & F.col("text").isNotNull()
-    new = F.when(changed, clean).otherwise(F.col("text"))
+    found = found.withColumn("pii_text", F.when(F.size("spans") > 0, clean).otherwise(text))
     out = []
     for name in names:
-        if name == "n_chars":
-            old = F.col(place[name])
-            out.append(F.when(changed, F.length(clean)).otherwise(old).cast(docs.schema[name].dataType).alias(name))
+        if name == "text":
+            out.append(F.when(F.col("text").isNotNull(), F.col("pii_text")).alias(name))
+        elif name == "n_chars":
+            own = F.when(F.size("spans") > 0, F.length("pii_text")).otherwise(F.col(place[name]))
+            out.append(own.cast(docs.schema[name].dataType).alias(name))
         else:
-            out.append((new if name == "text" else F.col(place[name])).alias(name))
+            out.append(F.col(place[name]).alias(name))
     return found.select(*out)
