@@ -24,11 +24,12 @@ def cents_from_text(text: Column) -> Column:
     """Statement text such as ``INR 4,891.30`` in cents; unreadable or blank text is 0.
 
     Only digits, dots and minus signs count, and of those only the leading number:
-    ``(45.00)`` is a positive 45. An amount too large for BIGINT raises.
+    ``(45.00)`` is a positive 45. An amount too large for BIGINT is null.
     """
     kept = F.regexp_replace(text, r"[^0-9.\-]", "")
-    number = F.regexp_extract(kept, r"^-?(?:\d+\.?\d*|\.\d+)", 0).try_cast("decimal(30,2)")
-    return F.coalesce((number * 100).cast("bigint"), F.lit(0).cast("bigint"))
+    number = F.regexp_extract(kept, r"^-?(?:\d+\.?\d*|\.\d+)", 0)
+    zero = F.lit(0).cast("bigint")
+    return F.when(F.coalesce(number, F.lit("")) == "", zero).otherwise((number.try_cast("decimal(36,2)") * 100).try_cast("bigint"))
 
 
 def currency(amount_cents: Column) -> Column:

@@ -15,8 +15,16 @@ DATE_SHAPES = [
     (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
     (r"^\d{1,2} [A-Za-z]+ \d{4}$", "d MMMM yyyy"),
     (r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy"),
+    (r"^[A-Za-z]+ \d{1,2} \d{4}$", "MMMM d yyyy"),
+    (r"^[A-Za-z]{3} \d{1,2} \d{4}$", "MMM d yyyy"),
+    (r"^\d{1,2}-\d{1,2}-\d{4}$", "M-d-yyyy"),
+    (r"^\d{1,2}-[A-Za-z]{3}-\d{4}$", "d-MMM-yyyy"),
 ]
 
+# A weekday in front and a time behind a date say nothing about the day.
+WEEKDAY = r"^[A-Za-z]{3,9}, +(?=[A-Za-z0-9])"
+TIME = r"[ T]+\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?: ?[AaPp][Mm])?(?: ?(?:Z|UTC|GMT))?$"
+
 # Two-digit years above this one belong to the 1900s.
 LAST_SHORT_YEAR = 68
 
@@ -28,7 +36,7 @@ def blank_to_null(text: Column) -> Column:
 
 def clean_date(text: Column) -> Column:
     """The date in ``text``, or null. A shape test guards each parse, so a miss costs no exception."""
-    trimmed = F.trim(text)
+    trimmed = F.regexp_replace(F.regexp_replace(F.trim(text), WEEKDAY, ""), TIME, "")
     parsed = []
     for shape, pattern in DATE_SHAPES:
         date = F.try_to_date(trimmed, pattern) if pattern else F.try_to_date(trimmed)

@@ -102,33 +102,17 @@ def number_occurrences(df: DataFrame, copies_per_task: int = COPIES_PER_TASK) ->
     """Number identical rows within a file and give each its own ``transaction_hash``.
 
     Identical rows are interchangeable, so they are counted first (copies collapse before
-    the shuffle) and written out again afterwards. A group with more copies than
-    ``copies_per_task`` is written by several tasks.
+    the shuffle) and written out again afterwards, ``copies_per_task`` at a time: the parts
+    of a group with more copies go to different tasks. The counted rows are dealt out once
+    more for that, one row per part.
     """
     groups = df.groupBy(*df.columns).agg(F.count("*").alias("copies"))
     per_task = F.lit(copies_per_task).cast("bigint")
-    one = F.lit(1).cast("bigint")
-
-    small = groups.filter(F.col("copies") <= copies_per_task).withColumn(
-        "occurrence_no", F.explode(F.sequence(one, F.col("copies")))
-    )
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    last_chunk = F.floor((F.col("copies") - 1) / per_task)
-    large = (
-        groups.filter(F.col("copies") > copies_per_task)
-        .withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), last_chunk)))
-        .repartition(tasks, "fingerprint", "chunk")
-        .withColumn(
-            "occurrence_no",
-            F.explode(
-                F.sequence(
-                    F.col("chunk") * per_task + 1, F.least((F.col("chunk") + 1) * per_task, F.col("copies"))
-                )
-            ),
-        )
-        .drop("chunk")
-    )
-    numbered = small.unionByName(large).drop("copies")
+    last = F.floor((F.col("copies") - 1) / per_task)
+    parts = groups.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    begin = F.col("part") * per_task
+    copies = F.sequence(begin + 1, F.least(begin + per_task, F.col("copies")))
+    numbered = parts.repartition("fingerprint", "part").withColumn("occurrence_no", F.explode(copies)).drop("copies", "part")
     suffixed = F.concat_ws("|", F.col("fingerprint"), F.col("occurrence_no").cast("string"))
     return numbered.withColumn("transaction_hash", F.sha2(suffixed, 256))
 

@@ -18,12 +18,17 @@ def inventory_rollup(valid: DataFrame) -> DataFrame:
     return keyed.groupBy(*INVENTORY_KEY).agg(F.sum("quantity_e4").alias("quantity_e4"))
 
 
-def material_cost_cents(rates: Mapping[str, int] = MATERIAL_RATES) -> Column:
-    """Quantity times rate, each row rounded half up to cents."""
-    units = F.col("quantity_e4") * F.coalesce(rate_of(F.col("material"), rates), F.lit(rates["OTHER"]))
+def material_units(rates: Mapping[str, int] = MATERIAL_RATES) -> Column:
+    """Quantity times rate, exact, in ten-thousandths of a cent."""
+    return F.col("quantity_e4") * F.coalesce(rate_of(F.col("material"), rates), F.lit(rates["OTHER"]))
+
+
+def units_to_cents(units: Column) -> Column:
+    """A sum of units rounded half up to cents."""
     return F.floor((units + 5000) / 10000)
 
 
 def order_material_cost(inventory: DataFrame, rates: Mapping[str, int] = MATERIAL_RATES) -> DataFrame:
-    costs = inventory.select("order_no", material_cost_cents(rates).alias("cost"))
-    return costs.groupBy("order_no").agg(F.sum("cost").alias("material_cost"))
+    """Material cost per order, rounded once."""
+    units = inventory.select("order_no", material_units(rates).alias("units")).groupBy("order_no").agg(F.sum("units").alias("units"))
+    return units.select("order_no", units_to_cents(F.col("units")).alias("material_cost"))

@@ -136,7 +136,7 @@ def order_facts(t: Ledgers) -> DataFrame:
             *fee,
             F.when(is_order_fee(), cost).alias("order_fees"),
         ),
-        t.inventory.select("order_no", material.material_cost_cents().alias("material_cost")),
+        t.inventory.select("order_no", material.material_units().alias("material_cost")),
         t.shipping_allocations.select("order_no", F.col("allocated_cents").alias("shipping_cost")),
         t.pool_allocations.select(
             "order_no",
@@ -168,6 +168,7 @@ def order_financials(t: Ledgers, with_waybills: bool = True) -> DataFrame:
     )
     zero = F.lit(0).cast("bigint")
     filled = combined.withColumns({m: F.coalesce(F.col(m), zero) for m in MEASURES})
+    filled = filled.withColumn("material_cost", material.units_to_cents(F.col("material_cost")))
     expense = F.col("material_cost") + F.col("shipping_cost") + F.col("order_fees") + F.col("pool_expense")
     net = F.col("sales") - F.col("refunds")
     result = filled.withColumns(

@@ -192,7 +192,7 @@ def fingerprint_rows(w):
 
 @query
 def occurrence_numbers(w):
-    numbered = cleaning.number_occurrences(_typed(w))
+    numbered = cleaning.number_occurrences(_typed(w).select("import_id", "fingerprint"))
     return numbered.select("import_id", "fingerprint", "occurrence_no", "transaction_hash")
 
 

@@ -36,13 +36,17 @@ def _amount(cents: str, key: str) -> str:
 
 
 def _date(date: str, key: str) -> str:
-    """Date text in one of three shapes."""
+    """Date text in one of six shapes, one of them with a time."""
     name = f"split_part('{MONTHS}', ',', cast(month({date}) as int))"
     day = f"lpad(cast(day({date}) as string), 2, '0')"
+    month = f"lpad(cast(month({date}) as string), 2, '0')"
     year = f"cast(year({date}) as string)"
     return (
-        f"case {key} % 3 when 0 then {name} || ' ' || {day} || ', ' || {year}"
+        f"case {key} % 6 when 0 then {name} || ' ' || {day} || ', ' || {year}"
         f" when 1 then {day} || '-' || substring({name}, 1, 3) || '-' || substring({year}, 3, 2)"
+        f" when 2 then substring({name}, 1, 3) || ' ' || cast(day({date}) as string) || ' ' || {year}"
+        f" when 3 then {name} || ' ' || cast(day({date}) as string) || ', ' || {year} || ' 10:30'"
+        f" when 4 then {month} || '-' || {day} || '-' || {year}"
         f" else cast({date} as string) end"
     )
 
@@ -90,7 +94,7 @@ TABLES = {
         select cast(1000000000 + l_orderkey as string) as order_no,
                case when p_type = 'STANDARD' then 'Cotton' else p_type end as material,
                p_brand as category, split_part(p_name, ' ', 1) as color,
-               cast(sum(cast(floor(l_quantity * 10000 + 0.5) as bigint)) as bigint) as quantity_e4
+               cast(sum(cast(floor(l_quantity * 10000 + 0.5) as bigint) + l_partkey % 7777) as bigint) as quantity_e4
         from {lineitem} join {part} on l_partkey = p_partkey
         where l_returnflag <> 'A' group by 1, 2, 3, 4""",
     "carrier_billing": """
