@@ -34,9 +34,7 @@ def blank_to_null(text: Column) -> Column:
     return F.nullif(F.trim(text), F.lit(""))
 
 
-def clean_date(text: Column) -> Column:
-    """The date in ``text``, or null. A shape test guards each parse, so a miss costs no exception."""
-    trimmed = F.regexp_replace(F.regexp_replace(F.trim(text), WEEKDAY, ""), TIME, "")
+def _parsed(trimmed: Column) -> Column:
     parsed = []
     for shape, pattern in DATE_SHAPES:
         date = F.try_to_date(trimmed, pattern) if pattern else F.try_to_date(trimmed)
@@ -46,6 +44,16 @@ def clean_date(text: Column) -> Column:
     return F.coalesce(*parsed)
 
 
+def clean_date(text: Column) -> Column:
+    """The date in ``text``, or null. A shape test guards each parse, so a miss costs no exception.
+
+    The text is bound once for all shapes; written out, it would be repeated for every shape
+    and the generated code would outgrow the compiler's limits.
+    """
+    trimmed = F.regexp_replace(F.regexp_replace(F.trim(text), WEEKDAY, ""), TIME, "")
+    return F.get(F.transform(F.array(trimmed), _parsed), F.lit(0))
+
+
 def order_no_in(text: Column) -> Column:
     """An order number of 8 to 12 digits: after the word "order", or after "#" in text that names no listing."""
     named = F.nullif(F.regexp_extract(text, r"(?i)\border[\s ]*#?[\s ]*(\d{8,12})", 1), F.lit(""))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginloom.plans.skew import join_salted
+from marginloom.plans.skew import join_groups
 
 
 def pool_totals(store_expenses: DataFrame) -> DataFrame:
@@ -34,8 +34,10 @@ def allocation_turns(candidates: DataFrame, pools: DataFrame) -> DataFrame:
     Imports are taken in the order of their ids. An order that was allocated in one import
     is not eligible in a later one, which makes its turn a plain minimum.
     """
-    funded = join_salted(candidates, pools.select("import_id").distinct(), "import_id", F.col("order_no"))
-    return funded.groupBy("order_no").agg(F.min("import_id").alias("import_id"))
+    sizes = candidates.groupBy("import_id").agg(F.count("*").alias("candidates"))
+    funded = sizes.join(pools.select("import_id").distinct(), "import_id")
+    kept = join_groups(candidates, funded, "import_id", "candidates", F.col("order_no"))
+    return kept.groupBy("order_no").agg(F.min("import_id").alias("import_id"))
 
 
 def _batch_id(category: Column) -> Column:
@@ -58,7 +60,7 @@ def allocate_pool(candidates: DataFrame, pools: DataFrame) -> tuple[DataFrame, D
         .agg(F.collect_list(F.struct("category", "pool_cents")).alias("pools"))
         .join(sizes, "import_id")
     )
-    shared = join_salted(turns, grouped, "import_id", F.col("order_no")).withColumn("pool", F.explode("pools"))
+    shared = join_groups(turns, grouped, "import_id", "orders", F.col("order_no")).withColumn("pool", F.explode("pools"))
     batch = _batch_id(F.col("pool.category"))
     share = F.floor(F.col("pool.pool_cents") / F.col("orders"))
     rest = F.col("pool.pool_cents") - share * (F.col("orders") - 1)
@@ -74,9 +76,9 @@ def allocate_pool(candidates: DataFrame, pools: DataFrame) -> tuple[DataFrame, D
 
 def allocated_by_category(allocations: DataFrame, batches: DataFrame) -> DataFrame:
     """Allocations with the expense category taken from their batch."""
-    kinds = batches.select("batch_id", "category")
+    kinds = batches.select("batch_id", "category", "orders")
     shares = allocations.select("batch_id", "order_no", "amount_cents")
-    return join_salted(shares, kinds, "batch_id", F.col("order_no")).drop("batch_id")
+    return join_groups(shares, kinds, "batch_id", "orders", F.col("order_no")).drop("batch_id", "orders")
 
 
 def order_pool_pivot(allocations: DataFrame, batches: DataFrame) -> DataFrame:

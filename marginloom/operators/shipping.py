@@ -57,9 +57,10 @@ def match_counts(costs: DataFrame, links: DataFrame) -> DataFrame:
 
 def _split(costs: DataFrame, links: DataFrame) -> DataFrame:
     """Every link with its waybill's cost, order count and highest order."""
-    linked = linked_waybills(links)
     pairs = links.filter(_has_waybill()).select("order_no", "waybill")
-    return join_groups(pairs, costs.join(linked, "waybill"), linked, "waybill", "orders", F.col("order_no"))
+    # The broadcast marks need the order count alone, yet ask for both, so that one aggregate serves both uses.
+    linked = costs.join(linked_waybills(links).filter(F.col("last_order").isNotNull()), "waybill")
+    return join_groups(pairs, linked, "waybill", "orders", F.col("order_no"))
 
 
 def _cost_share(cost: Column, orders: Column) -> Column:

@@ -5,49 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Groups that are cut into parts. Any other group is lighter than every one of these,
-# so it holds less than 1/HEAVY_GROUPS of all rows.
-HEAVY_GROUPS = 1000
-
-# Most parts a group is cut into.
-MAX_SALTS = 256
-
-
-def _salts(rows: DataFrame) -> int:
-    parallel = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(1, min(MAX_SALTS, parallel))
-
-
-def _salt(spread: Column, salts: int) -> Column:
-    return F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")
+# Rows of one group that a task may hold; larger groups are cut into parts of that size.
+ROWS_PER_TASK = 1_000_000
 
 
 def join_groups(
-    rows: DataFrame, groups: DataFrame, sizes: DataFrame, key: str, weight: str, spread: Column
+    rows: DataFrame, groups: DataFrame, key: str, weight: str, spread: Column, rows_per_task: int = ROWS_PER_TASK
 ) -> DataFrame:
-    """Join ``rows`` to ``groups`` (one record per ``key``), cutting only the heaviest groups into parts.
-
-    For many groups that are small as a rule. ``sizes`` holds the row count (``weight``) of
-    each key. The keys of the HEAVY_GROUPS largest are broadcast, at most that many records
-    whatever the data size; both sides use them to spread those groups over several tasks.
-    ``spread`` must be a value of the row itself that differs within a group.
-    """
-    salts = _salts(rows)
-    heavy = sizes.orderBy(F.desc(weight), key).limit(HEAVY_GROUPS).select(key, F.lit(True).alias("heavy"))
-    marked = rows.join(F.broadcast(heavy), key, "left")
-    salted_rows = marked.withColumn("salt", F.when(F.col("heavy"), _salt(spread, salts)).otherwise(0)).drop("heavy")
-    parts = F.when(F.col("heavy"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    copies = groups.join(F.broadcast(heavy), key, "left").withColumn("salt", F.explode(parts)).drop("heavy")
-    return salted_rows.join(copies, [key, "salt"]).drop("salt")
-
-
-def join_salted(rows: DataFrame, groups: DataFrame, key: str, spread: Column) -> DataFrame:
-    """Join ``rows`` to ``groups`` (one record per ``key``) with every group cut into equal parts.
+    """Join ``rows`` to ``groups`` (one record per ``key``), cutting groups with too many rows into parts.
 
-    For few groups with many rows each, such as files. ``spread`` must be a value of the
-    row itself that differs within a group; groups are copied once per part.
+    ``weight`` is a column of ``groups`` with at least the number of rows of each key. A
+    group is cut by its own size, however many large groups there are, and only large ones
+    are copied, once per part. The broadcast marks hold one record per ``rows_per_task`` rows
+    at most. ``spread`` must be a value of the row itself that differs within a group.
     """
-    salts = _salts(rows)
-    salted_rows = rows.withColumn("salt", _salt(spread, salts))
-    copies = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted_rows.join(copies, [key, "salt"]).drop("salt")
+    parts = F.ceil(F.col(weight) / F.lit(rows_per_task)).cast("int")
+    marks = groups.filter(F.col(weight) > rows_per_task).select(key, parts.alias("parts"))
+    marked = rows.join(F.broadcast(marks), key, "left")
+    part = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64(spread), F.col("parts")).cast("int")).otherwise(0)
+    cut = marked.withColumn("part", part).drop("parts")
+    last = F.greatest(parts, F.lit(1)) - 1
+    copies = groups.withColumn("part", F.explode(F.sequence(F.lit(0), last)))
+    return cut.join(copies, [key, "part"]).drop("part")

@@ -13,15 +13,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginloom.functions import money, text
 from marginloom.operators import cleaning, inventory, ledger, pools, quality, shipping
 from marginloom.operators.activity import BILLING, INVENTORY, STATEMENT
-from marginloom.plans.skew import join_salted
 from marginloom.sources import billing, delimited, sheets, statements
-from marginloom.sources.files import content_digest, unseen_files
-from marginloom.sources.sinks import create_table, read_batch, read_batches, replace_table, write_batch
+from marginloom.sources.files import digests_of, unseen_files
+from marginloom.sources.sinks import create_table, read_batch, read_batches, write_batch
 
 LOG = "source string, last_row bigint, synced_at timestamp"
-FILES = "file string, file_hash string, status string"
+FILES = (
+    "file string, file_hash string, file_bytes bigint, total_rows bigint, failed_rows bigint, unparsed_dates bigint,"
+    " status string, error string"
+)
+NEW_FILES = "file string, file_hash string, file_bytes bigint"
 TRANSACTIONS = (
     "import_id bigint, type string, title string, info string, currency string, tax_details string,"
     " amount_cents bigint, fees_cents bigint, net_cents bigint, transaction_date date, order_no string,"
@@ -33,11 +37,15 @@ POOL_ALLOCATIONS = "allocation_id string, pool_batch string, order_no string, ca
 IMPORTS = (
     "import_id bigint, total_rows bigint, new_rows bigint, duplicate_rows bigint, new_sales bigint,"
     " duplicate_sales bigint, new_expenses bigint, duplicate_expenses bigint, new_listing_rows bigint,"
-    " duplicate_listing_rows bigint, status string, created_at timestamp"
+    " duplicate_listing_rows bigint, file string, file_bytes bigint, failed_rows bigint, unparsed_dates bigint,"
+    " status string, error string, created_at timestamp"
 )
 BILLING_ROWS = (
     "invoice_type string, invoice_date date, due_date date, waybill string, amount_cents bigint, file string, line_id bigint"
 )
+LINKS = "order_no string, waybill string"
+SHARES = "order_no string, waybill string, allocated_cents bigint"
+MAPPINGS = "billing_batch bigint, new_links bigint, billed bigint, matched bigint, unmatched bigint, written boolean, synced_at timestamp"
 INVENTORY_CHANGES = "order_no string, material string, category string, color string, quantity_e4 bigint"
 
 
@@ -54,10 +62,10 @@ def _log(spark: SparkSession, store: str, source: str, rows: DataFrame, batch_id
     write_batch(entry, f"{store}/sync_log", batch_id)
 
 
-def committed(spark: SparkSession, store: str, table: str, schema: str) -> DataFrame:
+def committed(spark: SparkSession, store: str, table: str, schema: str, log: str = "sync_log") -> DataFrame:
     """The rows of all logged batches."""
-    last = read_batches(spark, f"{store}/sync_log", LOG).agg(F.max("batch_id").alias("b")).scalar()
-    return read_batches(spark, f"{store}/{table}", schema).filter(F.col("batch_id") <= last)
+    logged = spark.read.parquet(f"{store}/{log}").select("batch_id").distinct()
+    return read_batches(spark, f"{store}/{table}", schema).join(logged, "batch_id", "left_semi")
 
 
 def sync_log(spark: SparkSession, *stores: str) -> DataFrame:
@@ -69,11 +77,10 @@ def sync_log(spark: SparkSession, *stores: str) -> DataFrame:
 
 
 def _new_files(batch: DataFrame, store: str, batch_id: int) -> DataFrame:
-    """Digests of the batch's files that no earlier load has completed."""
-    spark = batch.sparkSession
-    digests = batch.groupBy("file").agg(content_digest(F.col("value")).alias("file_hash"))
-    seen = read_batches(spark, f"{store}/files", FILES, before=batch_id)
-    return unseen_files(digests, seen)
+    """file, file_hash and file_bytes of the batch's files that no earlier load has completed."""
+    seen = read_batches(batch.sparkSession, f"{store}/files", FILES, before=batch_id)
+    sizes = batch.groupBy("file").agg(F.max("file_bytes").alias("file_bytes"))
+    return unseen_files(digests_of(batch), seen).join(sizes, "file")
 
 
 def _file_key(file: Column) -> Column:
@@ -86,10 +93,12 @@ def ingest_statements(
 ) -> None:
     """Load new statement files: clean, number, drop known rows, allocate the store pools, write the audit.
 
-    ``import_id`` turns a file path into the id of its statement.
+    A file with an amount too large to hold is FAILED with the reason and adds no rows; the
+    others load. ``import_id`` turns a file path into the id of its statement.
     """
     tables = {
         "files": FILES,
+        "new_files": NEW_FILES,
         "staged": TRANSACTIONS,
         "transactions": TRANSACTIONS,
         "pool_batches": POOL_BATCHES,
@@ -102,13 +111,14 @@ def ingest_statements(
 
     def load(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        fresh = _new_files(batch, store, batch_id)
-        audit = fresh.select("file", "file_hash", F.lit("COMPLETED").alias("status"))
-        write_batch(audit, f"{store}/files", batch_id)
-
-        rows = statements.statement_rows(batch).filter(statements.has_content())
-        taken = read_batch(session, f"{store}/files", FILES, batch_id).select("file")
-        rows = join_salted(rows, taken, "file", F.col("line_id")).withColumn("import_id", import_id(F.col("file")))
+        write_batch(_new_files(batch, store, batch_id), f"{store}/new_files", batch_id)
+        fresh = read_batch(session, f"{store}/new_files", NEW_FILES, batch_id)
+        rows = statements.statement_rows(batch.join(fresh, "file", "left_semi")).filter(statements.has_content())
+        write_batch(_checked_files(fresh, rows), f"{store}/files", batch_id)
+        files = read_batch(session, f"{store}/files", FILES, batch_id)
+
+        taken = files.filter(F.col("status") == "COMPLETED").select("file")
+        rows = rows.join(taken, "file", "left_semi").withColumn("import_id", import_id(F.col("file")))
         rows = rows.drop("file", "block", "line_id")
         numbered = cleaning.number_occurrences(cleaning.clean_statement(rows))
         write_batch(numbered, f"{store}/staged", batch_id)
@@ -127,16 +137,49 @@ def ingest_statements(
 
         kept = new.select("transaction_hash", "import_id", F.lit(True).alias("is_new"))
         flagged = staged.join(kept, ["transaction_hash", "import_id"], "left").fillna(False, ["is_new"])
-        counts = quality.import_counts(flagged).withColumns(
-            {"status": F.lit("COMPLETED"), "created_at": F.current_timestamp()}
-        )
-        write_batch(counts, f"{store}/imports", batch_id)
+        write_batch(_audit(files, quality.import_counts(flagged), import_id), f"{store}/imports", batch_id)
         _log(session, store, STATEMENT, staged.agg(F.count("*").alias("last_row")), batch_id)
 
     lines = delimited.stream_lines(spark.readStream, landing)
     _run(lines, load, f"{store}/_checkpoint")
 
 
+def _checked_files(fresh: DataFrame, rows: DataFrame) -> DataFrame:
+    """The new files with their row counts, status and error."""
+    amounts = [money.cents_from_text(F.col(c)).isNull() for c in ("amount", "fees", "net")]
+    undated = (F.col("date") != "") & text.clean_date(F.col("date")).isNull()
+    counts = rows.groupBy("file").agg(
+        F.count("*").alias("total_rows"),
+        F.count_if(amounts[0] | amounts[1] | amounts[2]).alias("failed_rows"),
+        F.count_if(undated).alias("unparsed_dates"),
+    )
+    checked = fresh.join(counts, "file", "left").fillna(0, ["total_rows", "failed_rows", "unparsed_dates"])
+    failed = F.col("failed_rows") > 0
+    return checked.withColumns(
+        {
+            "status": F.when(failed, "FAILED").otherwise("COMPLETED"),
+            "error": F.when(failed, F.concat(F.col("failed_rows").cast("string"), F.lit(" rows with an unreadable amount"))),
+        }
+    )
+
+
+def _audit(files: DataFrame, counts: DataFrame, import_id: Callable[[Column], Column]) -> DataFrame:
+    """One audit row per import; an import of several files fails if one of them does."""
+    per_import = files.groupBy(import_id(F.col("file")).alias("import_id")).agg(
+        F.min("file").alias("file"),
+        F.sum("file_bytes").alias("file_bytes"),
+        F.sum("total_rows").alias("file_rows"),
+        F.sum("failed_rows").alias("failed_rows"),
+        F.sum("unparsed_dates").alias("unparsed_dates"),
+        F.max("status").alias("status"),
+        F.max("error").alias("error"),
+    )
+    numbers = [c for c in counts.columns if c != "import_id"]
+    rows = per_import.join(counts, "import_id", "left").fillna(0, numbers)
+    rows = rows.withColumns({"total_rows": F.col("file_rows"), "created_at": F.current_timestamp()})
+    return rows.drop("file_rows")
+
+
 def _unknown(staged: DataFrame, known: DataFrame) -> DataFrame:
     """Staged rows the ledger lacks, each owned by one import.
 
@@ -150,8 +193,8 @@ def _unknown(staged: DataFrame, known: DataFrame) -> DataFrame:
     return ledger.first_import(wanted).join(near.select("transaction_hash"), "transaction_hash", "left_anti")
 
 
-def ingest_billing(spark: SparkSession, landing: str, store: str, links: DataFrame) -> None:
-    """Load new billing files, refuse those with a bad row, and rebuild the shipping allocations."""
+def ingest_billing(spark: SparkSession, landing: str, store: str) -> None:
+    """Load new billing files and refuse those with a bad row. Allocations are the work of ``sync_mappings``."""
     tables = {"files": FILES, "staged": BILLING_ROWS, "billing": BILLING_ROWS, "sync_log": LOG}
     for name, schema in tables.items():
         create_table(spark, f"{store}/{name}", schema)
@@ -164,22 +207,67 @@ def ingest_billing(spark: SparkSession, landing: str, store: str, links: DataFra
 
         checks = quality.validate_billing(staged)
         status = F.when(F.col("accepted"), "COMPLETED").otherwise("REJECTED")
-        checked = _new_files(batch, store, batch_id).join(checks, "file").withColumn("status", status)
-        write_batch(checked.select("file", "file_hash", "status"), f"{store}/files", batch_id)
+        error = F.when(~F.col("accepted"), F.concat(F.col("failed_rows").cast("string"), F.lit(" bad rows")))
+        checked = _new_files(batch, store, batch_id).join(checks, "file")
+        checked = checked.withColumns({"status": status, "error": error, "unparsed_dates": F.lit(0).cast("bigint")}).drop("accepted")
+        write_batch(checked, f"{store}/files", batch_id)
         files = read_batch(session, f"{store}/files", FILES, batch_id).filter(F.col("status") == "COMPLETED")
-        accepted = join_salted(staged, files.select("file"), "file", F.col("line_id"))
-        write_batch(accepted, f"{store}/billing", batch_id)
-
+        write_batch(staged.join(files, "file", "left_semi"), f"{store}/billing", batch_id)
         billed = read_batches(session, f"{store}/billing", BILLING_ROWS, before=batch_id + 1)
-        costs = shipping.waybill_cost(billed)
-        if shipping.match_counts(costs, links).first()["may_write"]:
-            replace_table(shipping.allocate_shipping(costs, links), f"{store}/shipping_allocations", batch_id)
-            _log(session, store, BILLING, billed.agg(F.count("*").alias("last_row")), batch_id)
+        _log(session, store, BILLING, billed.agg(F.count("*").alias("last_row")), batch_id)
 
     lines = delimited.stream_lines(spark.readStream, landing)
     _run(lines, load, f"{store}/_checkpoint")
 
 
+def sync_mappings(spark: SparkSession, store: str, links: DataFrame) -> DataFrame:
+    """Append the links the store lacks and allocate the waybills that changed; returns the step's log row.
+
+    A waybill has changed if it was billed in a load since the last step or has a new link.
+    If there are bills and none of all billed waybills has a link, nothing is allocated, and
+    the bills wait for the next step. The log entry comes last: a step that fails is
+    repeated under the same number and overwrites its own folders.
+    """
+    for name, schema in {"links": LINKS, "shares": SHARES, "mapping_log": MAPPINGS}.items():
+        create_table(spark, f"{store}/{name}", schema)
+    log = read_batches(spark, f"{store}/mapping_log", MAPPINGS)
+    done = log.agg(F.max("batch_id").alias("step"), F.max(F.when(F.col("written"), F.col("billing_batch"))).alias("billing")).first()
+    step = 0 if done.step is None else done.step + 1
+    since = -1 if done.billing is None else done.billing
+
+    known = committed(spark, store, "links", LINKS, "mapping_log")
+    offered = links.select("order_no", "waybill").filter("order_no <> '' and waybill <> ''")
+    write_batch(ledger.new_rows(known, offered, ["order_no", "waybill"]), f"{store}/links", step)
+    new = read_batch(spark, f"{store}/links", LINKS, step)
+    every = known.select("order_no", "waybill").unionByName(new)
+
+    billed = committed(spark, store, "billing", BILLING_ROWS)
+    costs = shipping.waybill_cost(billed)
+    counts = shipping.match_counts(costs, every).first()
+    if counts.may_write:
+        # links of a step that could not write were never allocated; their bills are newer than `since`
+        touched = billed.filter(F.col("batch_id") > since).select("waybill").unionByName(new.select("waybill")).distinct()
+        own = shipping.allocate_shipping(costs.join(touched, "waybill", "left_semi"), every.join(touched, "waybill", "left_semi"))
+        write_batch(own, f"{store}/shares", step)
+    last = billed.agg(F.max("batch_id")).first()[0]
+    entry = new.agg(F.count("*").alias("new_links")).select(
+        F.lit(-1 if last is None else last).cast("bigint").alias("billing_batch"),
+        "new_links",
+        *[F.lit(counts[c]).cast("bigint").alias(c) for c in ("billed", "matched", "unmatched")],
+        F.lit(bool(counts.may_write)).alias("written"),
+        F.current_timestamp().alias("synced_at"),
+    )
+    write_batch(entry, f"{store}/mapping_log", step)
+    return read_batch(spark, f"{store}/mapping_log", MAPPINGS, step)
+
+
+def current_allocations(spark: SparkSession, store: str) -> DataFrame:
+    """The shipping cost of every linked and billed waybill's orders, as of its last allocation."""
+    shares = committed(spark, store, "shares", SHARES, "mapping_log")
+    newest = shares.groupBy("waybill").agg(F.max("batch_id").alias("batch_id"))
+    return shares.join(newest, ["waybill", "batch_id"]).select("order_no", "waybill", "allocated_cents")
+
+
 def sync_inventory(spark: SparkSession, landing: str, store: str) -> None:
     """Load new sheet rows; a key seen again takes the quantity of the later load."""
     for name, schema in {"changes": INVENTORY_CHANGES, "sync_log": LOG}.items():

@@ -101,9 +101,12 @@ def upsert_inventory(w):
 
 @query
 def replace_table(w):
+    """Allocations by the last bill only, replaced by those of all bills."""
     path = shared_folder(w.spark, "allocations")
-    sinks.replace_table(w.shipping_allocations.filter("allocated_cents < 0"), path, 1)
-    return _money(sinks.replace_table(w.shipping_allocations, path, 2), "allocated_cents")
+    latest = shipping.waybill_cost_latest(w.carrier_billing)
+    sinks.replace_table(shipping.allocate_shipping(latest, w.order_shipments), path, 1)
+    sinks.replace_table(w.shipping_allocations, path, 2)
+    return _money(sinks.current_table(w.spark, path), "allocated_cents")
 
 
 # Cleaning jobs
@@ -227,8 +230,11 @@ def unseen_files(w):
 
 @query
 def import_counts(w):
-    rows = w.statement_lines.select("import_id", "category", "order_no", (F.col("import_id") % 10 == 0).alias("is_new"))
-    return quality.import_counts(rows)
+    """Every statement against a ledger of the first downloads."""
+    numbered = cleaning.number_occurrences(_typed(w).select("import_id", "fingerprint", "category", "order_no"))
+    ledger_rows = numbered.filter("import_id % 10 = 0").select("transaction_hash").distinct()
+    known = numbered.join(ledger_rows.withColumn("known", F.lit(True)), "transaction_hash", "left")
+    return quality.import_counts(known.withColumn("is_new", F.col("known").isNull()))
 
 
 # Aggregations
@@ -322,9 +328,11 @@ def waybill_match_counts(w):
 
 @query
 def eligible_orders(w):
-    allocated = w.sales.filter("import_id < 199701").select("order_no")
-    again = w.sales.withColumn("import_id", F.col("import_id") + 100)
-    return pools.eligible_orders(again.unionByName(w.sales), allocated)
+    """Orders sold in any statement, second downloads included, that no pool before 1997 has reached."""
+    sold = ledger.sales_of(_typed(w).withColumn("transaction_hash", F.col("fingerprint")).filter(ledger.is_sale()))
+    batches, allocations = w.pool_tables
+    prior = allocations.join(batches.filter("import_id < 199701"), "batch_id", "left_semi")
+    return pools.eligible_orders(sold, prior)
 
 
 @query
@@ -352,9 +360,7 @@ def pool_batches(w):
 
 @query
 def unallocated_pools(w):
-    funded = w.sales.filter("import_id % 100 <> 3").select("import_id", "order_no").distinct()
-    batches, _ = pools.allocate_pool(funded, w.pools)
-    return _money(pools.unallocated_pools(w.pools, batches), "net_cents", "pool_cents")
+    return _money(pools.unallocated_pools(w.pools, w.pool_tables[0]), "net_cents", "pool_cents")
 
 
 @query
@@ -414,8 +420,10 @@ def order_status(w):
 
 @query
 def order_transactions(w):
-    lines = reports.order_transactions(w.expenses, ORDER)
-    return _money(lines.select("expense_date", "category", "net_cents", "is_allocation", "import_id"), "net_cents")
+    expenses = ledger.expenses_of(_typed(w).withColumn("transaction_hash", F.col("fingerprint")))
+    lines = reports.order_transactions(expenses, ORDER)
+    shown = lines.select("expense_date", "category", "title", "info", "currency", "amount_cents", "net_cents", "listing_id", "is_allocation", "import_id")
+    return _money(shown, "amount_cents", "net_cents")
 
 
 @query
@@ -442,8 +450,9 @@ def sync_state(w):
 
 
 def _statement_store(w):
-    """A store fed by two loads: the files of the first years, then all others."""
+    """A store fed by two loads: the files of the first years and unreadable ones, then all others."""
     landed, store = shared_folder(w.spark, "landing"), shared_folder(w.spark, "statement-store")
+    landing.write_layouts(w.poison_lines, landing.STATEMENT_LAYOUTS, landed)
     for part in ("import_id < 1998000", "import_id >= 1998000"):
         lines = w.statement_lines.filter(part)
         landing.write_layouts(lines, landing.STATEMENT_LAYOUTS, landed)
@@ -467,12 +476,48 @@ def ingest_pool_allocations(w):
 
 
 @query
-def ingest_billing(w):
+def ingest_audit(w):
+    store = _statement_store(w)
+    rows = incremental.committed(w.spark, store, "imports", incremental.IMPORTS)
+    return rows.select("import_id", "status", "error", "total_rows", "failed_rows", "unparsed_dates", "new_rows", "duplicate_rows", "new_sales", "new_expenses")
+
+
+@query
+def ingest_sync_status(w):
+    """The load's own audit and log; the times are when it ran."""
+    store = _statement_store(w)
+    imports = incremental.committed(w.spark, store, "imports", incremental.IMPORTS)
+    state = activity.sync_status(imports.orderBy("import_id"), incremental.sync_log(w.spark, store))
+    return state.select("overall", F.col("statement_at").isNotNull().alias("loaded"), "billing_status", "inventory_status")
+
+
+def _billing_store(w):
+    """A store fed by two loads of bills; links come after each: none that match, then half, then all."""
     landed, store = shared_folder(w.spark, "landing"), shared_folder(w.spark, "billing-store")
-    for part in ("import_id < 199800", "import_id >= 199800"):
+    links = w.order_shipments
+    parts = [("import_id < 199800", [links.selectExpr("order_no", "'X' || waybill waybill")]), ("import_id >= 199800", [links.filter("order_no < '1000000500'"), links])]
+    for part, offered in parts:
         landing.write_layouts(w.billing_lines.filter(part), landing.BILLING_LAYOUTS, landed)
-        incremental.ingest_billing(w.spark, landed, store, w.order_shipments)
-    rows = incremental.committed(w.spark, store, "billing", incremental.BILLING_ROWS)
+        incremental.ingest_billing(w.spark, landed, store)
+        for some in offered:
+            incremental.sync_mappings(w.spark, store, some)
+    return store
+
+
+@query
+def sync_mappings(w):
+    log = w.spark.read.parquet(f"{_billing_store(w)}/mapping_log")
+    return log.select("batch_id", "new_links", "billed", "matched", "unmatched", "written")
+
+
+@query
+def current_allocations(w):
+    return _money(incremental.current_allocations(w.spark, _billing_store(w)), "allocated_cents")
+
+
+@query
+def ingest_billing(w):
+    rows = incremental.committed(w.spark, _billing_store(w), "billing", incremental.BILLING_ROWS)
     return _money(shipping.waybill_cost(rows), "cost_cents")
 
 

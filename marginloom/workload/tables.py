@@ -130,13 +130,16 @@ TABLES = {
                  when 'SALES_TAX' then case when l_suppkey % 10 = 2 then 'Sales tax paid by buyer'
                                        else 'Refund to buyer for sales tax' end
                  when 'SHARE_AND_SAVE_REFUND' then 'Share & Save refund'
-                 when 'OTHER_ORDER_EXPENSE' then 'Gift wrap charge'
+                 when 'OTHER_ORDER_EXPENSE' then case when month_no % 3 = 0
+                   then 'Gift wrap' || chr(10) || 'charge, "large"' else 'Gift wrap charge, "large"' end
                  when 'TDS' then 'Tax deducted at source (TDS)' when 'TCS' then 'Tax collected at source (TCS)'
                  when 'OFFSITE_ADS' then 'Offsite Ads fee'
                  when 'LISTING_FEE' then 'Listing fee: Listing ' || cast(1200000000 + l_partkey as string)
                  when 'REFUND' then 'Refund for order' when 'ETSY_ADS' then 'Etsy Ads'
                  when 'DEPOSIT' then 'Sent to your bank account' else 'Subscription' end,
                case when category in ('LISTING_FEE', 'ETSY_ADS', 'DEPOSIT', 'OTHER_STORE_EXPENSE') then '--'
+                    when category = 'BUYER_FEE' and month_no % 3 = 1
+                    then 'Order #' || cast(1000000000 + l_orderkey as string) || chr(10) || 'by courier'
                     else 'Order #' || cast(1000000000 + l_orderkey as string) end,
                {_date('expense_date', 'l_partkey')},
                '--',
@@ -158,8 +161,14 @@ TABLES = {
         select *, month_no * 10 as import_id from {statement_base}
         union all select *, month_no * 10 as import_id from {statement_base} where twin = 1
         union all select *, month_no * 10 + 1 as import_id from {statement_base} where again = 0""",
+    "poison_lines": """
+        select type, title, info, date, '99999999999999999999.00' as amount, fees, net, currency, tax_details,
+               month_no * 10 + 2 as import_id
+        from {statement_base} where category = 'REFUND'""",
     "billing_lines": f"""
-        select invoice_type, {_date('invoice_date', 'l_partkey')} as invoice_date,
+        select case when import_id % 4 = 1 and l_partkey % 9 = 0 then invoice_type || chr(10) || '"net", inland'
+                    else invoice_type end as invoice_type,
+               {_date('invoice_date', 'l_partkey')} as invoice_date,
                case when l_partkey % 2 = 0 then cast(invoice_date as string) else '' end as due_date,
                case when import_id % 100 = 7 and l_partkey % 97 = 0 then ''
                     when l_partkey % 3 = 0 then waybill || '.0'

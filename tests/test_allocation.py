@@ -1,3 +1,4 @@
+import functools
 import random
 from collections import defaultdict
 
@@ -52,10 +53,10 @@ def test_link_without_bill_keeps_null(frame):
     assert shipping.match_counts(frame([("x", 1)], COSTS), links).first().may_write is False
 
 
-@pytest.mark.parametrize("heavy", [0, 1, 1000])
-def test_hot_waybill_against_brute_force(frame, monkeypatch, heavy):
-    """One waybill owns a third of the links; whichever groups count as heavy, the result is whole."""
-    monkeypatch.setattr(skew, "HEAVY_GROUPS", heavy)
+@pytest.mark.parametrize("rows_per_task", [1, 100, 1_000_000])
+def test_hot_waybill_against_brute_force(frame, monkeypatch, rows_per_task):
+    """One waybill owns a third of the links; however small the parts, the result is whole."""
+    monkeypatch.setattr(shipping, "join_groups", functools.partial(skew.join_groups, rows_per_task=rows_per_task))
     rng = random.Random(7)
     pairs = {(f"{i:05d}", "hot") for i in range(1000)}
     pairs |= {(f"{rng.randrange(3000):05d}", f"w{rng.randrange(400)}") for _ in range(2000)}
@@ -79,25 +80,37 @@ def test_hot_waybill_against_brute_force(frame, monkeypatch, heavy):
 
 
 def test_heavy_rows_are_spread(frame, spark):
-    """With broadcasts off, the hot key's rows reach many partitions of the join."""
+    """Groups are cut by their own size: however many are large, none keeps its rows together."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        rows = frame([("hot", f"{i}") for i in range(4000)] + [(f"k{i}", f"{i}") for i in range(50)], "k string, v string")
-        sizes = rows.groupBy("k").agg(F.count("*").alias("n"))
-        groups = sizes.select("k", F.lit(1).alias("g"))
-        joined = skew.join_groups(rows, groups, sizes, "k", "n", F.col("v"))
-        parts = joined.filter("k = 'hot'").groupBy(F.spark_partition_id().alias("p")).count().collect()
-        assert len(parts) >= 4 and max(r["count"] for r in parts) < 3000
-        salted = skew.join_salted(rows, groups, "k", F.col("v"))
-        assert salted.count() == joined.count() == 4050
-        parts = salted.filter("k = 'hot'").groupBy(F.spark_partition_id().alias("p")).count().collect()
-        assert len(parts) >= 4
+        rows = frame([("hot", f"{i}") for i in range(4000)], "k string, v string")
+        many = spark.range(1500 * 30).selectExpr("concat('m', id % 1500) k", "cast(id as string) v")
+        small = frame([(f"k{i}", f"{i}") for i in range(50)], "k string, v string")
+        rows = rows.unionByName(many).unionByName(small)
+        groups = rows.groupBy("k").agg(F.count("*").alias("n"))
+        joined = skew.join_groups(rows, groups, "k", "n", F.col("v"), rows_per_task=10)
+        assert joined.count() == 4000 + 45_000 + 50
+        placed = joined.withColumn("task", F.spark_partition_id())
+        parts = placed.groupBy("k").agg(F.countDistinct("task").alias("tasks"))
+        tasks = {r.k: r.tasks for r in parts.collect()}
+        assert tasks["hot"] == 8 and min(t for k, t in tasks.items() if k[0] == "m") >= 1
+        assert sum(t >= 2 for k, t in tasks.items() if k[0] == "m") > 1200
+        assert all(tasks[f"k{i}"] == 1 for i in range(50))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
+def test_one_aggregate_of_the_links(frame):
+    """The size marks and the groups come from one aggregate, whose exchange is reused."""
+    links, costs = frame([("a", "w"), ("b", "w")], LINKS), frame([("w", 23600)], COSTS)
+    allocated = shipping.allocate_shipping(costs, links)
+    allocated.collect()
+    plan = allocated._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan or plan.count("partial_max(order_no") == 1
+
+
 def test_tax_variant(frame):
     links = frame([("a", "w"), ("b", "w"), ("b", "x")], LINKS)
     rows = {r.order_no: r for r in shipping.allocate_shipping_tax(frame([("w", 23600)], COSTS), links).collect()}
@@ -157,7 +170,8 @@ def test_pools_against_sequential_imports(frame, seed):
 
 
 def test_pool_pivot_totals_hold_other_pools(frame):
-    batches = frame([("b1", "LISTING_FEE"), ("b2", "ETSY_ADS"), ("b3", "SALES_TAX")], "batch_id string, category string")
+    kinds = [("b1", "LISTING_FEE", 1), ("b2", "ETSY_ADS", 1), ("b3", "SALES_TAX", 1)]
+    batches = frame(kinds, "batch_id string, category string, orders bigint")
     shares = frame([("b1", "o", 10), ("b2", "o", 20), ("b3", "o", 5)], "batch_id string, order_no string, amount_cents bigint")
     row = pools.order_pool_pivot(shares, batches).first()
     assert (row.listing_expense, row.store_ads_expense, row.pool_expense) == (10, 20, 35)

@@ -110,33 +110,71 @@ def test_unlogged_batch_is_invisible_and_retried(spark, tmp_path, monkeypatch):
     assert sorted(r.order_no for r in rows) == ["4105054431", "4105054432"]
 
 
-def test_billing_loads(spark, tmp_path, frame):
+def test_unreadable_file_does_not_stop_the_others(statements, spark, tmp_path):
+    landing, load = statements
+    put(landing, "good.csv", sale("4105054431", "10.00") + sale("4105054432", "5", day="99"))
+    put(landing, "bad.csv", sale("4105054433", "99999999999999999999.00") + sale("4105054434", "1"))
+    got = load()
+    assert {r.order_no for r in got["transactions"]} == {"4105054431", "4105054432"}
+    audit = {r.file.rsplit("/", 1)[-1]: r for r in got["imports"]}
+    assert (audit["good.csv"].status, audit["good.csv"].unparsed_dates, audit["good.csv"].new_sales) == ("COMPLETED", 1, 2)
+    bad = audit["bad.csv"]
+    assert (bad.status, bad.failed_rows, bad.total_rows, bad.new_rows, bad.error) == ("FAILED", 1, 2, 0, "1 rows with an unreadable amount")
+    assert bad.file_bytes == (landing / "bad.csv").stat().st_size
+    # the mended file loads, and a failed one is tried again when it lands again
+    put(landing, "mended.csv", sale("4105054433", "9.00"))
+    put(landing, "bad again.csv", sale("4105054433", "99999999999999999999.00") + sale("4105054434", "1"))
+    got = load()
+    assert "4105054433" in {r.order_no for r in got["transactions"]}
+    assert sorted(r.status for r in got["imports"]) == ["COMPLETED", "COMPLETED", "FAILED", "FAILED"]
+
+
+def test_quoted_line_break_in_a_load(statements):
+    landing, load = statements
+    put(landing, "a.csv", '"June 01, 2026",Sale,"Payment for Order #4105054431\nsecond line",--,INR,10.00,--,10.00,--\n')
+    (row,) = load()["transactions"]
+    assert (row.order_no, row.amount_cents, row.title) == ("4105054431", 1000, "Payment for Order #4105054431\nsecond line")
+
+
+def test_only_logged_batches_are_visible(spark):
+    store = shared_folder(spark, "gaps")
+    for table, batches in {"rows": (0, 1, 2), "sync_log": (0, 2)}.items():
+        for batch in batches:
+            inc.write_batch(spark.range(1), f"{store}/{table}", batch)
+    rows = inc.committed(spark, store, "rows", "id bigint").collect()
+    assert sorted(r.batch_id for r in rows) == [0, 2]
+
+
+def test_billing_and_mappings(spark, tmp_path, frame):
     landing, store = tmp_path / "billing", shared_folder(spark, "billing")
     landing.mkdir()
     head = "Invoice Type,Invoice Date,Due Date,AWB,Total Amount\n"
-    links = frame([("o1", "100"), ("o2", "100"), ("o3", "200")], "order_no string, waybill string")
+
+    def sync(*links):
+        row = inc.sync_mappings(spark, store, frame(list(links), "order_no string, waybill string")).first()
+        shares = {(r.order_no, r.allocated_cents) for r in inc.current_allocations(spark, store).collect()}
+        return (row.new_links, row.billed, row.matched, row.written), shares
+
     (landing / "good.csv").write_text(head + "Duty,01-Apr-26,,100,10.01\n")
     (landing / "bad.csv").write_text(head + "Duty,01-Apr-26,,200,5\nDuty,01-Apr-26,,,5\n")
-    inc.ingest_billing(spark, str(landing), store, links)
+    inc.ingest_billing(spark, str(landing), store)
     rows = inc.committed(spark, store, "billing", inc.BILLING_ROWS).collect()
     assert [(r.waybill, r.amount_cents) for r in rows] == [("100", 1001)]
-    shares = spark.read.parquet(f"{store}/shipping_allocations/version=0").collect()
-    assert {(r.order_no, r.allocated_cents) for r in shares} == {("o1", 501), ("o2", 500)}
-    (landing / "copy.csv").write_text(head + "Duty,01-Apr-26,,100,10.01\n")
-    (landing / "fixed.csv").write_text(head + "Duty,01-Apr-26,,200,5\n")
-    inc.ingest_billing(spark, str(landing), store, links)
-    rows = inc.committed(spark, store, "billing", inc.BILLING_ROWS).collect()
-    assert sorted((r.waybill, r.amount_cents) for r in rows) == [("100", 1001), ("200", 500)]
-    state = activity.sync_state(inc.sync_log(spark, store)).first()
-    assert (state.source, state.last_row) == ("fedex_billing", 2)
 
+    # links that match nothing leave the bills visible and unallocated, and are kept
+    assert sync(("o9", "900")) == ((1, 1, 0, False), set())
+    assert sync(("o1", "100"), ("o2", "100"), ("o9", "900")) == ((2, 1, 1, True), {("o1", 501), ("o2", 500)})
 
-def test_billing_writes_nothing_without_a_match(spark, tmp_path, frame):
-    landing, store = tmp_path / "billing", shared_folder(spark, "nomatch")
-    landing.mkdir()
-    (landing / "a.csv").write_text("AWB,Date,Total Amount\n999,01-Apr-26,1\n")
-    inc.ingest_billing(spark, str(landing), store, frame([("o", "1")], "order_no string, waybill string"))
-    assert inc.sync_log(spark, store).count() == 0
+    (landing / "copy.csv").write_text(head + "Duty,01-Apr-26,,100,10.01\n")
+    (landing / "fixed.csv").write_text(head + "Duty,01-Apr-26,,200,5\nDuty,01-Apr-26,,900,3\n")
+    inc.ingest_billing(spark, str(landing), store)
+    assert sync(("o3", "200")) == ((1, 3, 3, True), {("o1", 501), ("o2", 500), ("o3", 500), ("o9", 300)})
+    # a new link changes its waybill's shares only
+    assert sync(("o4", "200"))[1] == {("o1", 501), ("o2", 500), ("o3", 250), ("o4", 250), ("o9", 300)}
+    written = spark.read.parquet(f"{store}/shares").filter("batch_id = 3").collect()
+    assert {r.waybill for r in written} == {"200"}
+    state = activity.sync_state(inc.sync_log(spark, store)).first()
+    assert (state.source, state.last_row) == ("fedex_billing", 3)
 
 
 def test_inventory_sync(spark, tmp_path):
