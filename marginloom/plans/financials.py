@@ -195,7 +195,10 @@ def write_financials(financials: DataFrame, path: str) -> None:
     by_month.write.mode("overwrite").partitionBy("sale_month").parquet(path)
 
 
-def read_financials(spark, path: str, first: str, last: str) -> DataFrame:
-    """Stored results of the months that touch the date range; other folders are not read."""
-    low, high = (int(d[:4]) * 100 + int(d[5:7]) for d in (first, last))
-    return spark.read.parquet(path).filter(F.col("sale_month").between(low, high)).drop("sale_month")
+def read_financials(spark, path: str, first: str | None = None, last: str | None = None) -> DataFrame:
+    """Stored results of the months that touch the date range; other folders are not read. Without dates, all."""
+    stored = spark.read.parquet(path)
+    if first and last:
+        low, high = (int(d[:4]) * 100 + int(d[5:7]) for d in (first, last))
+        stored = stored.filter(F.col("sale_month").between(low, high))
+    return stored.drop("sale_month")

@@ -42,3 +42,12 @@ def test_no_cross_join(spark, name):
 def test_entry(spark):
     df = entry(spark)
     assert df.count() > 0 and "profit" in df.columns
+
+
+@pytest.mark.parametrize("name", ["kpi_summary", "kpi_compare", "expense_breakdown", "orders_page"])
+def test_dated_reports_read_only_their_months(spark, name):
+    df = queries()[name](spark, FOLDER)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "sale_month" in plan.split("PartitionFilters: ")[1].split("]")[0]
+    months = {int(f.split("sale_month=")[1].split("/")[0]) for f in df.inputFiles() if "sale_month=" in f}
+    assert len(months) > 12  # the stored table holds many more than the window
