@@ -52,18 +52,30 @@ def _fin(w: Workload, with_waybills: bool = False) -> DataFrame:
     return financials.order_financials(w.ledgers, with_waybills)
 
 
-# Where each session has stored the financials of a folder.
-_STORED: dict[tuple[str, str], str] = {}
+# Folders that a session has built from a folder of given tables: several queries read them.
+BUILT: dict[tuple[str, str, str], str] = {}
+
+
+def built_once(build: Callable[[Workload], str]) -> Callable[[Workload], str]:
+    def run(w: Workload) -> str:
+        key = (w.spark.sparkContext.applicationId, w.folder, build.__name__)
+        if key not in BUILT:
+            BUILT[key] = build(w)
+        return BUILT[key]
+
+    return run
+
+
+@built_once
+def _financial_store(w: Workload) -> str:
+    path = shared_folder(w.spark, "financials")
+    financials.write_financials(_fin(w, with_waybills=True), path)
+    return path
 
 
 def _stored(w: Workload, first: str | None = None, last: str | None = None) -> DataFrame:
     """Stored financials of the months from ``first`` to ``last``; the first report of a session writes them."""
-    key = (w.spark.sparkContext.applicationId, w.folder)
-    if key not in _STORED:
-        path = shared_folder(w.spark, "financials")
-        financials.write_financials(_fin(w, with_waybills=True), path)
-        _STORED[key] = path
-    return financials.read_financials(w.spark, _STORED[key], first, last)
+    return financials.read_financials(w.spark, _financial_store(w), first, last)
 
 
 def _import_of(file: str = "file"):
@@ -203,11 +215,16 @@ def _typed(w):
     return cleaning.clean_statement(lines)
 
 
-def _staged(w):
-    """Clean rows written and read back, as the loads do: a filter on them then tests columns, not the cleaning rules."""
+@built_once
+def _staged_rows(w):
     path = shared_folder(w.spark, "staged")
     _typed(w).withColumn("transaction_hash", F.col("fingerprint")).write.parquet(path)
-    return w.spark.read.parquet(path)
+    return path
+
+
+def _staged(w):
+    """Clean rows written and read back, as the loads do: a filter on them then tests columns, not the cleaning rules."""
+    return w.spark.read.parquet(_staged_rows(w))
 
 
 @query
@@ -471,6 +488,7 @@ def sync_state(w):
 # Incremental loads
 
 
+@built_once
 def _statement_store(w):
     """A store fed by two loads: the files of the first years and unreadable ones, then all others."""
     landed, store = shared_folder(w.spark, "landing"), shared_folder(w.spark, "statement-store")
@@ -513,6 +531,7 @@ def ingest_sync_status(w):
     return state.select("overall", F.col("statement_at").isNotNull().alias("loaded"), "billing_status", "inventory_status")
 
 
+@built_once
 def _billing_store(w):
     """A store fed by two loads of bills; links come after each: none that match, then half, then all."""
     landed, store = shared_folder(w.spark, "landing"), shared_folder(w.spark, "billing-store")
