@@ -7,7 +7,7 @@ cells of width CELL; a bucket is a tuple of cells. A query visits its own bucket
 in the order of estimated success, the PROBES - 1 buckets next to it whose boundaries lie
 nearest. The candidates of all tables are merged and scored exactly, in double precision.
 
-All rows are indexed. Buckets are dealt by hash into groups of about GROUP_ROWS vectors; a
+All rows are indexed. Buckets are dealt by hash into groups of about GROUP_BYTES of vectors; a
 group that a frequent vector makes larger is cut into blocks, and the queries that probe it
 visit every block. A task scores one block and returns at most k results per query, so no
 pair table arises. Queries for which the probes found fewer than k rows are compared with
@@ -34,7 +34,7 @@ HASHES = 6
 CELL = 1.5
 PROBES = 96
 SEED = 8
-GROUP_ROWS = 16_384
+GROUP_BYTES = 32 << 20
 
 
 @dataclass(frozen=True)
@@ -210,7 +210,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.filter(F.col("vec_id").isNotNull() & F.coalesce(finite & nonzero, F.lit(False)))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, probes: int = PROBES, group_rows: int = GROUP_ROWS) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, probes: int = PROBES, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k largest inner products found for each query.
 
     ``vectors`` has vec_id and embedding, ``queries`` query_id and embedding; a query never
@@ -230,6 +230,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, probes: int = P
         return spark.createDataFrame([], result)
     rows, asked = (df.filter(F.size("vector") == found.length) for df in (rows, asked))
     hashing = Hashing(found.length, found.norm)
+    group_rows = max(1, group_bytes // (8 * found.length))
     groups = max(1, -(-found.rows // group_rows))
 
     indexed = rows.mapInArrow(_index(hashing, groups), INDEXED)

@@ -36,7 +36,7 @@ def test_recall_and_scores(spark, scaled):
     if scaled:
         vectors *= r.uniform(0.5, 2, (1500, 1))
     vectors = vectors.astype(np.float32).astype(float)
-    found = _by_query(ann.nearest(_frame(spark, vectors), _frame(spark, vectors[::20], range(0, 1500, 20)).withColumnRenamed("vec_id", "query_id"), group_rows=200))
+    found = _by_query(ann.nearest(_frame(spark, vectors), _frame(spark, vectors[::20], range(0, 1500, 20)).withColumnRenamed("vec_id", "query_id"), group_bytes=200 * 32 * 8))
     recall = []
     for q in range(0, 1500, 20):
         assert [x[0] for x in found[q]] == list(range(1, 21))
@@ -68,7 +68,7 @@ def test_copies_ties_and_unusable_rows(spark):
     extra = spark.createDataFrame([(i, v, None, None, None) for i, v in odd], SCHEMA)
     good = _frame(spark, vectors)
     table = good.unionByName(extra).unionByName(good.filter("vec_id = 3"))
-    found = _by_query(ann.nearest(table, table.filter("vec_id in (0, 5, 70, 1002)").withColumnRenamed("vec_id", "query_id"), group_rows=16))
+    found = _by_query(ann.nearest(table, table.filter("vec_id in (0, 5, 70, 1002)").withColumnRenamed("vec_id", "query_id"), group_bytes=16 * 8 * 8))
     assert set(found) == {0, 5, 70}
     assert [i for _, i, _ in found[5]] == [i for i, _ in _exact(vectors, 5, 20)]
     assert [i for _, i, _ in found[0]] == list(range(1, 21))
