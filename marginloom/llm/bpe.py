@@ -29,7 +29,7 @@ from marginloom.llm.common import for_python
 from marginloom.llm.tokenizing import tokenizer
 
 VOCABULARY = "word_bpe_49k.json"
-LEAF_CHARS = 1 << 15
+LEAF_CHARS = 1 << 17  # below, dealing the leaves out costs more than encoding them
 WINDOW_CHARS = 64
 AGREEING_TOKENS = 4
 
