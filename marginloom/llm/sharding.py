@@ -37,7 +37,7 @@ def record_bytes(text: Column) -> Column:
 
 
 def shuffled(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """``docs`` with size, shard, grown_shard (with one more shard), bucket and slot (from 0, without gaps).
+    """``docs`` with size, shard, grown_shard (with one more shard), bucket (of all shards) and slot (from 0, without gaps).
 
     ``docs`` has doc_id and text; size is the text's UTF-8 bytes plus 8, so a null text has
     8. Rows that share a doc_id share a shard, as do rows without one; they are told apart
@@ -55,20 +55,21 @@ def shuffled(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_byt
     # A frequent id may weigh down one shard, which then gets more buckets.
     weights = known.groupBy("shard").agg(F.sum("size").alias("bytes")).collect()
     per_shard = {r.shard: max(1, -(-r.bytes // bucket_bytes)) for r in weights}
-    counts = F.get(F.array(*[F.lit(per_shard.get(s, 1)) for s in range(shards)]), F.col("shard"))
+    buckets = [per_shard.get(s, 1) for s in range(shards)]
+    firsts = [sum(buckets[:s]) for s in range(shards)]
+    counts, first = (F.get(F.array(*[F.lit(n) for n in numbers]), F.col("shard")) for numbers in (buckets, firsts))
     spread = F.xxhash64(F.lit(seed + 1), F.col("doc_id"), F.monotonically_increasing_id())
     # Written before anything depends on it, so a repeated task cannot deal its rows another way.
-    scattered = stored(known.withColumn("spread", spread).withColumn("bucket", F.pmod("spread", counts).cast("int")), "scattered")
+    scattered = stored(known.withColumn("spread", spread).withColumn("bucket", (first + F.pmod("spread", counts)).cast("int")), "scattered")
 
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = scattered.groupBy("shard", "bucket").agg(F.count("*").alias("rows"))
     offsets = offsets.select("shard", "bucket", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset"))
 
-    parts = max(1, sum(per_shard.values()))
     record = F.struct(*kept, "size", "grown_shard")
     gathered = (
-        scattered.repartition(parts, "shard", "bucket")
-        .sortWithinPartitions("shard", "bucket", "spread")
+        scattered.repartitionById(sum(buckets), "bucket")  # one bucket to a task
+        .sortWithinPartitions("bucket", "spread")
         .groupBy("shard", "bucket")
         .agg(F.collect_list(record).alias("records"))
     )
