@@ -2,10 +2,11 @@
 
 The tree grows level by level: a path segment that stays rare among the children of its
 branch is variable and becomes a wildcard; frequent ones stay. Each template then counts
-its labelled URLs. Sibling branches, which differ in one literal segment, are merged where
-their share of bad URLs does not differ significantly from that of all of them together. A
-template is rejected if its labelled share of bad URLs, smoothed towards the overall share,
-is at least PURITY.
+its labelled URLs. Sibling branches, which differ in one literal segment, are merged from
+the leaves up where their share of bad URLs does not differ significantly from that of all
+of them together; siblings without labels join such a branch. A branch is rejected, with
+all its templates, if its labelled share of bad URLs, smoothed towards those of its
+siblings, its host and all hosts, is at least PURITY.
 
 Only counts per host, template and segment are shuffled, after partial counts; joins back
 to the URLs are salted, so one host may hold any share of them.
@@ -15,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginloom.llm.common import salted_left_join, stored
@@ -35,6 +36,7 @@ MAX_DEPTH = 6  # segments beyond stand together as **
 LITERAL_ROWS = 8
 LITERAL_SHARE = 0.02
 WILDCARD = "*"
+MERGED = "?"  # merged literals beside a wildcard that differs from them; no path has this character
 PRIOR_URLS = 10.0
 PURITY = 0.8
 SIMILAR_Z = 1.96
@@ -80,31 +82,79 @@ def templates(urls: DataFrame) -> DataFrame:
     return rows.drop("segments", "url_salt")
 
 
-def _merged(counts: DataFrame) -> DataFrame:
-    """Templates of a host that differ in the first literal segment only, merged where their labels are alike.
+def _merged(counts: DataFrame, unlabelled: bool = False) -> DataFrame:
+    """Templates of a host that differ in one literal segment only, merged where their labels are alike.
 
-    Gives host, template and ``branch``, the merged template. Templates without labels stay
-    by themselves: nothing is known of them.
+    Works through the positions from the last to the first; at each, branches that agree in
+    all other segments are siblings (at most 1 / LITERAL_SHARE and the wildcard). Two or
+    more labelled ones that are alike become one branch, and siblings without labels join
+    it unless a labelled one differs. Gives host, template and ``branch``, the merged
+    template, for templates with labels or, with ``unlabelled``, for all.
     """
-    siblings = F.regexp_replace("template", r"^((?:/\*)*)/[^/*]+", "$1/*")
-    labelled = counts.filter("labelled > 0").withColumn("siblings", siblings)
-    groups = labelled.groupBy("host", "siblings").agg(F.sum("bad").alias("all_bad"), F.sum("labelled").alias("all_labelled"))
-    share = F.col("all_bad") / F.col("all_labelled")
-    spread = F.sqrt(share * (1 - share) / F.col("labelled"))
-    alike = F.abs(F.col("bad") / F.col("labelled") - share) <= SIMILAR_Z * spread + 1e-12
-    return labelled.join(groups, ["host", "siblings"]).select("host", "template", F.when(alike, F.col("siblings")).otherwise(F.col("template")).alias("branch"))
+    depth = counts.select(F.max(F.size(F.split("template", "/", -1)))).first()[0] or 0
+    rows = counts.select("host", "template", "bad", "labelled", F.col("template").alias("branch"))
+    siblings = Window.partitionBy("host", "siblings")
+    for place in range(depth - 1, 0, -1):
+        parts = F.split("branch", "/", -1)
+
+        def at_place(segment: str, place: int = place, parts: Column = parts) -> Column:
+            return F.array_join(F.transform(parts, lambda s, i: F.when(i == place, segment).otherwise(s)), "/")
+
+        branches = rows.groupBy("host", "branch").agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled"))
+        branches = branches.filter(F.size(parts) > place).withColumn("siblings", at_place(WILDCARD))
+        known = F.col("labelled") > 0
+        share = F.try_divide(F.sum("bad").over(siblings), F.sum("labelled").over(siblings))
+        spread = F.sqrt(F.try_divide(F.col("share") * (1 - F.col("share")), F.col("labelled")))
+        alike = known & (F.abs(F.try_divide("bad", "labelled") - F.col("share")) <= SIMILAR_Z * spread + 1e-12)
+        judged = branches.withColumn("share", share).withColumn("alike", F.coalesce(alike, F.lit(False)))
+        judged = judged.withColumn("n_alike", F.sum(F.col("alike").cast("int")).over(siblings))
+        judged = judged.withColumn("n_known", F.sum(known.cast("int")).over(siblings))
+        joins = (F.col("n_alike") >= 2) & (F.col("alike") | (~known & (F.col("n_alike") == F.col("n_known"))))
+        judged = judged.withColumn("joins", joins)
+        apart = F.max((F.col("branch") == F.col("siblings")) & ~F.col("joins")).over(siblings)
+        target = F.when(F.col("apart"), at_place(MERGED)).otherwise(F.col("siblings"))
+        moves = judged.withColumn("apart", apart).filter("joins").select(F.concat_ws("\n", "host", "branch").alias("node"), target.alias("target"))
+        moved = salted_left_join(rows.withColumn("node", F.concat_ws("\n", "host", "branch")), moves, "node", F.col("template"))
+        rows = stored(moved.withColumn("branch", F.coalesce("target", "branch")).drop("node", "target"), "template-branches")
+    return (rows if unlabelled else rows.filter("labelled > 0")).select("host", "template", "branch")
+
+
+def _others(branches: DataFrame, group: str) -> DataFrame:
+    """Add ``{group}_bad`` and ``{group}_labelled``: the labels of the other branches of the host with the same ``group``.
+
+    Both are 0 where fewer than two others have labels: one branch speaks for no other.
+    """
+    known = (F.col("labelled") > 0).cast("int")
+    sums = branches.groupBy(group).agg(F.sum("bad").alias("all_bad"), F.sum("labelled").alias("all_labelled"), F.sum(known).alias("all_known"))
+    joined = salted_left_join(branches, sums, group, F.col("branch"))
+    many = F.col("all_known") - known >= 2
+    for name in ("bad", "labelled"):
+        joined = joined.withColumn(f"{group}_{name}", F.when(many, F.col(f"all_{name}") - F.col(name)).otherwise(0))
+    return joined.drop("all_bad", "all_labelled", "all_known")
 
 
 def rejected_templates(urls: DataFrame) -> DataFrame:
-    """host and template of the rejected ones; ``urls`` has host, template and bad (boolean, null if unlabelled)."""
+    """host and template of the rejected ones; ``urls`` has host, template and bad (boolean, null if unlabelled).
+
+    A branch's share of bad URLs is smoothed towards that of its siblings, theirs towards
+    that of the rest of the host, and this towards the overall share. It holds for all
+    templates of the branch. Without any label on the host nothing is rejected.
+    """
     bad = F.col("bad").cast("int")
     counts = stored(urls.groupBy("host", "template").agg(F.count(bad).alias("labelled"), F.coalesce(F.sum(bad), F.lit(0)).alias("bad")), "template-labels")
-    overall = counts.agg(F.sum("bad") / F.sum("labelled")).first()[0] or 0.0 if counts.filter("labelled > 0").limit(1).count() else 0.0
-    merged = _merged(counts)
+    overall = counts.agg(F.try_divide(F.sum("bad"), F.sum("labelled"))).first()[0] or 0.0
+    merged = _merged(counts.filter("host <> ''"), unlabelled=True)
     branches = counts.join(merged, ["host", "template"]).groupBy("host", "branch").agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled"))
-    purity = (F.col("bad") + PRIOR_URLS * overall) / (F.col("labelled") + PRIOR_URLS)
-    impure = branches.filter(purity >= PURITY).select("host", "branch")
-    return merged.join(impure, ["host", "branch"], "left_semi").select("host", "template")
+    # the last literal segment tells siblings apart
+    parent = F.regexp_replace("branch", r"/(?![*?](?:/|$))[^/]+((?:/[*?])*)$", "/*$1")
+    held = _others(_others(branches.withColumn("parent", F.concat_ws("\n", "host", parent)), "parent"), "host")
+    purity, evidence = F.lit(overall), F.lit(0)
+    for level in ("host_", "parent_", ""):
+        labelled = F.col(f"{level}labelled")
+        purity, evidence = (F.col(f"{level}bad") + PRIOR_URLS * purity) / (labelled + PRIOR_URLS), evidence + labelled
+    impure = held.filter((evidence > 0) & (purity >= PURITY)).select(F.concat_ws("\n", "host", "branch").alias("node"), F.lit(True).alias("impure"))
+    named = merged.withColumn("node", F.concat_ws("\n", "host", "branch"))
+    return salted_left_join(named, impure, "node", F.col("template")).filter("impure").select("host", "template")
 
 
 def judged_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, labels: DataFrame | None = None) -> DataFrame:

@@ -43,5 +43,29 @@ def test_alike_branches_are_merged(spark):
     assert {r.branch for r in url_filters._merged(alike).collect()} == {"/*/*"}
 
 
+def test_unlabelled_branches_take_the_verdict_of_their_siblings(spark):
+    bad = [("h.net", f"/{s}/{i}/x", True) for s in ("spam", "casino") for i in range(60)]
+    mixed = [("m.net", f"/{s}/{i}", s == "bad") for s in ("bad", "good") for i in range(60)]
+    deep = [("d.net", f"/{a}/{b}/{i}", b != "help") for a in ("x", "y") for b in ("p", "q", "help") for i in range(40)]
+    lone = [("l.net", f"/only/{i}", True) for i in range(60)]
+    unknown = [("h.net", f"/pills/{i}/x") for i in range(20)] + [("m.net", f"/new/{i}") for i in range(20)]
+    unknown += [("d.net", f"/z/{b}/{i}") for b in ("p", "help") for i in range(20)] + [("l.net", f"/other/{i}") for i in range(20)]
+    rows = [*bad, *mixed, *deep, *lone, *[(h, p, None) for h, p in unknown]]
+    pages = spark.createDataFrame([(i, f"http://{h}{p}") for i, (h, p, _) in enumerate(rows)], "page_id bigint, url string")
+    labels = spark.createDataFrame([(i, b) for i, (_, _, b) in enumerate(rows) if b is not None], "page_id bigint, bad boolean")
+    out = url_filters.judged_urls(pages, rules=[], labels=labels).groupBy("host", "template", "verdict").count().collect()
+    got = {(r.host, r.template): r.verdict for r in out}
+    assert len(got) == len(out)
+    assert got["h.net", "/pills/*/x"] == got["h.net", "/spam/*/x"] == got["d.net", "/x/p/*"] == got["d.net", "/z/p/*"] == "block"
+    assert got["d.net", "/z/help/*"] == got["d.net", "/x/help/*"] == got["m.net", "/new/*"] == got["l.net", "/other/*"] == "allow"
+
+
+def test_unlike_wildcard_stays_apart(spark):
+    counts = [("h", "/a/x", 30, 30), ("h", "/b/x", 30, 30), ("h", "/*/x", 0, 4), ("h", "/c/x", 0, 0)]
+    frame = spark.createDataFrame(counts, "host string, template string, bad long, labelled long")
+    merged = {r.template: r.branch for r in url_filters._merged(frame, unlabelled=True).collect()}
+    assert merged["/*/x"] == "/*/x" and merged["/c/x"] == "/c/x" and merged["/a/x"] == merged["/b/x"] == "/?/x"
+
+
 def test_empty_table(spark):
     assert url_filters.judged_urls(spark.createDataFrame([], "page_id bigint, url string")).count() == 0
