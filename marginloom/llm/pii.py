@@ -31,10 +31,10 @@ CARD = r"[0-9](?:[\x20-]?[0-9]){13,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 NATIONAL = r"(?<![0-9+(.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9])"
 NUMBER = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-SECRET = r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{12,28}(?![A-Za-z0-9])|(?i:password|passwd|api_key|secret|token)\x20{0,2}[=:]\x20{0,2}[\x22']?[A-Za-z0-9+/_-]{6,64}"
+SECRET = r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{12,}+(?![A-Za-z0-9])|(?i:password|passwd|api_key|secret|token)\x20{0,2}[=:]\x20{0,2}[\x22']?[A-Za-z0-9+/_-]{6,}+"
 HONORIFICS = ["Mr", "Mrs", "Ms", "Dr", "Prof", "Herr", "Frau", "Monsieur", "Madame"]
 GIVEN_NAMES = ["Anna", "Carlos", "David", "Elena", "Emma", "Hans", "James", "Jean", "John", "Juan", "Lisa", "Maria", "Marie", "Michael", "Pierre", "Sarah", "Sofia", "Thomas"]
-NAME = rf"(?<![\p{{L}}])(?:{'|'.join(HONORIFICS + GIVEN_NAMES)})\.?\x20\p{{Lu}}[\p{{L}}'-]{{1,30}}"
+NAME = rf"(?<![\p{{L}}])(?:{'|'.join(HONORIFICS + GIVEN_NAMES)})\.?\x20\p{{Lu}}[\p{{L}}'-]{{1,}}+"
 
 # In the order of equal starts.
 BASE_KINDS = ["email", "ip", "card", "phone"]
@@ -175,7 +175,7 @@ def votes(span: Column) -> Column:
     for k, names in FOR_WORDS.items():
         context = context | ((kind == k) & F.arrays_overlap(words, F.array(*[F.lit(n) for n in names])))
     against = F.arrays_overlap(words, F.array(*[F.lit(n) for n in AGAINST_WORDS]))
-    joined = span["before"].rlike(r"[\p{L}0-9_=/.#-]$") | (F.length(digits) > 19)
+    joined = span["before"].rlike(r"[\p{L}0-9_=/.#-]$") | ((kind != "secret") & (F.length(digits) > 19))
     return F.concat(strict, sign(listed, F.lit(False)), sign(context, against), sign(F.lit(False), joined))
 
 

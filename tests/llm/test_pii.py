@@ -47,6 +47,18 @@ def test_redaction(odd):
     assert not any(plain.base_spans(r.text) for r in rows.values())
 
 
+def test_long_secrets_and_names_are_covered_whole(spark):
+    short = ["password = abc{}xyz", "api_key=abc{}xyz", "AKIAABCDEFGHIJKLM{}"]
+    rows = [(i, f"The login {short[i % 3].format(100 + i)} stands here, by Dr. Smith{chr(97 + i % 26)} today") for i in range(60)]
+    long = {100: "api_key=" + "aB3/x" * 40, 101: "password: " + "0a1b" * 50, 102: "AKIA" + "Z7QX" * 10, 103: "Dr. M" + "a" * 60}
+    rows += [(i, f"Written by {s} today" if i == 103 else f"The login {s} stands here") for i, s in long.items()]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    spans = {r.doc_id: r.spans for r in pii.span_table(docs).collect()}
+    texts = {r.doc_id: r.text for r in pii.redacted(docs).collect()}
+    assert all(spans[i] == f"secret:10:{10 + len(long[i])}" and texts[i] == "The login <secret> stands here" for i in (100, 101, 102))
+    assert spans[103] == f"name:11:{11 + len(long[103])}" and texts[103] == "Written by <name> today"
+
+
 def test_empty_and_long(spark, odd):
     assert pii.span_table(odd.limit(0)).count() == 0
     hard = ["a" * 50_000 + "@", "a@" + "b." * 20_000 + "c", "1" * 50_000, "1." * 30_000, "+1" + " (" * 20_000, "9 " * 20_000, "Dr. " * 10_000]
