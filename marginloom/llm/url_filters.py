@@ -32,7 +32,6 @@ RULES = [
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-MAX_DEPTH = 6  # segments beyond stand together as **
 LITERAL_ROWS = 8
 LITERAL_SHARE = 0.02
 WILDCARD = "*"
@@ -61,10 +60,11 @@ def matching_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, st
 def templates(urls: DataFrame) -> DataFrame:
     """Add ``template`` to rows with host and path: the path with variable segments as wildcards."""
     whole = F.filter(F.split("path", "/", -1), lambda s: s != "")
-    first = F.slice(whole, 1, MAX_DEPTH)
-    rows = urls.withColumn("segments", F.when(F.size(whole) > MAX_DEPTH, F.concat(first, F.array(F.lit("**")))).otherwise(first))
+    rows = urls.withColumn("segments", whole)
     rows = stored(rows.withColumn("template", F.lit("")).withColumn("url_salt", F.xxhash64("path")), "url-segments")
-    depth = rows.select(F.max(F.size("segments"))).first()[0] or 0
+    # deeper branches have fewer than LITERAL_ROWS rows, hence wildcards only
+    deepest = [r.depth for r in rows.select(F.size("segments").alias("depth")).orderBy(F.desc("depth")).limit(LITERAL_ROWS).collect()]
+    depth = deepest[-1] if len(deepest) == LITERAL_ROWS else 0
     for level in range(depth):
         own = F.get("segments", F.lit(level))
         node = F.concat_ws("\n", "host", "template")
@@ -75,11 +75,12 @@ def templates(urls: DataFrame) -> DataFrame:
         # at most 1 / LITERAL_SHARE segments per node
         literals = frequent.groupBy("node").agg(F.collect_set("segment").alias("literals"))
         joined = salted_left_join(rows.withColumn("node", node), literals, "node", F.col("url_salt"))
-        kept = F.coalesce(F.array_contains("literals", own), F.lit(False)) | (own == "**")
+        kept = F.coalesce(F.array_contains("literals", own), F.lit(False))
         step = F.concat("template", F.lit("/"), F.when(kept, own).otherwise(WILDCARD))
         rows = joined.withColumn("template", F.when(own.isNotNull(), step).otherwise(F.col("template"))).drop("node", "literals")
         rows = stored(rows, "url-templates")
-    return rows.drop("segments", "url_salt")
+    rest = F.repeat(F.lit(f"/{WILDCARD}"), F.greatest(F.size("segments") - depth, F.lit(0)))
+    return rows.withColumn("template", F.concat("template", rest)).drop("segments", "url_salt")
 
 
 def _merged(counts: DataFrame, unlabelled: bool = False) -> DataFrame:
@@ -91,7 +92,8 @@ def _merged(counts: DataFrame, unlabelled: bool = False) -> DataFrame:
     it unless a labelled one differs. Gives host, template and ``branch``, the merged
     template, for templates with labels or, with ``unlabelled``, for all.
     """
-    depth = counts.select(F.max(F.size(F.split("template", "/", -1)))).first()[0] or 0
+    literal = F.regexp_replace("template", r"(?:/\*)++$", "")
+    depth = counts.select(F.max(F.size(F.split(literal, "/", -1)))).first()[0] or 0
     rows = counts.select("host", "template", "bad", "labelled", F.col("template").alias("branch"))
     siblings = Window.partitionBy("host", "siblings")
     for place in range(depth - 1, 0, -1):
@@ -146,7 +148,7 @@ def rejected_templates(urls: DataFrame) -> DataFrame:
     merged = _merged(counts.filter("host <> ''"), unlabelled=True)
     branches = counts.join(merged, ["host", "template"]).groupBy("host", "branch").agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled"))
     # the last literal segment tells siblings apart
-    parent = F.regexp_replace("branch", r"/(?![*?](?:/|$))[^/]+((?:/[*?])*)$", "/*$1")
+    parent = F.regexp_replace("branch", r"/(?![*?](?:/|$))[^/]+((?:/[*?])*+)$", "/*$1")
     held = _others(_others(branches.withColumn("parent", F.concat_ws("\n", "host", parent)), "parent"), "host")
     purity, evidence = F.lit(overall), F.lit(0)
     for level in ("host_", "parent_", ""):

@@ -60,6 +60,16 @@ def test_unlabelled_branches_take_the_verdict_of_their_siblings(spark):
     assert got["d.net", "/z/help/*"] == got["d.net", "/x/help/*"] == got["m.net", "/new/*"] == got["l.net", "/other/*"] == "allow"
 
 
+def test_deep_paths_keep_their_segments(spark):
+    rows = [(i, f"http://h.net/a/b/c/d/e/f/{'spam' if i < 40 else 'shop'}/{i}", i < 40) for i in range(80)]
+    rows.append((100, "http://h.net" + "/z" * 300, None))
+    pages = spark.createDataFrame([(i, u) for i, u, _ in rows], "page_id bigint, url string")
+    labels = spark.createDataFrame([(i, b) for i, _, b in rows if b is not None], "page_id bigint, bad boolean")
+    out = {r.page_id: r for r in url_filters.judged_urls(pages, rules=[], labels=labels).collect()}
+    assert out[0].template == "/a/b/c/d/e/f/spam/*" and out[100].template == "/*" * 300
+    assert all(out[i].verdict == ("block" if i < 40 else "allow") for i in range(80))
+
+
 def test_unlike_wildcard_stays_apart(spark):
     counts = [("h", "/a/x", 30, 30), ("h", "/b/x", 30, 30), ("h", "/*/x", 0, 4), ("h", "/c/x", 0, 0)]
     frame = spark.createDataFrame(counts, "host string, template string, bad long, labelled long")
