@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginloom.llm import ann, bpe, line_dedup, near_dedup, packing, pii, quality_rules, sharding, url_filters, warc
+from marginloom.llm import ann, bpe, line_dedup, merkle, near_dedup, packing, pii, quality_rules, ranked_search, sharding, toxicity, url_filters, warc
+from marginloom.llm.oracles import merkle_sql, ranked_search_sql
 from marginloom.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,9 +53,38 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.link_groups(read_table(spark, sf_dir, "documents"), width=4)
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_line_dedup, op2_quality_rules, op3_best_fit_packing, op4_url_filters, op5_bpe, op6_warc, op7_pii, op8_ann, op9_sharding, op10_minhash_near_dedup)}
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_table(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest_table(read_table(spark, sf_dir, "documents"))
+
+
+ALL = [
+    op1_line_dedup,
+    op2_quality_rules,
+    op3_best_fit_packing,
+    op4_url_filters,
+    op5_bpe,
+    op6_warc,
+    op7_pii,
+    op8_ann,
+    op9_sharding,
+    op10_minhash_near_dedup,
+    op11_toxicity,
+    op12_ranked_search,
+    op13_merkle_manifest,
+]
+QUERIES: dict[str, Query] = {q.__name__: q for q in ALL}
 
 ORACLE_SQL: dict[str, str] = {
+    "op12_ranked_search": ranked_search_sql(),
+    "op13_merkle_manifest": merkle_sql(),
     "op1_line_dedup": """
         with texts as (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
         lines as (select doc_id, unnest(lines) as line, generate_subscripts(lines, 1) as place from texts),
