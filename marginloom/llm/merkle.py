@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 from marginloom.llm.common import for_python, stored
 
 FANOUT, LEVELS = 3, 5
-BLOCK = FANOUT**LEVELS
 
 LEAF_COLUMNS = ["doc_id", "source", "lang", "n_chars", "text"]
 
@@ -146,9 +145,9 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, dict | N
         yield at, message, nodes
 
 
-def _delivered(nodes: DataFrame, messages: DataFrame) -> DataFrame:
+def _delivered(nodes: DataFrame, messages: DataFrame, size: int) -> DataFrame:
     """Nodes (key, place, ...) sorted by block, the message (key, block, ...) for a block before its nodes."""
-    rows = nodes.withColumns({"block": F.floor(F.col("place") / BLOCK).cast("bigint"), "message": F.lit(False)})
+    rows = nodes.withColumns({"block": F.floor(F.col("place") / size).cast("bigint"), "message": F.lit(False)})
     both = rows.unionByName(messages.withColumn("message", F.lit(True)), allowMissingColumns=True)
     return both.repartition(_partitions(nodes), "key", "block").sortWithinPartitions("key", "block", F.desc("message"), "place")
 
@@ -159,15 +158,15 @@ def _levels(size: Column) -> Column:
     return sum(steps[1:], steps[0])
 
 
-def _finishing(sizes: DataFrame, number: int) -> DataFrame:
+def _finishing(sizes: DataFrame, number: int, size: int) -> DataFrame:
     """The keys (key, n, ...) whose last sweep this is, and the levels it climbs, as messages to their only block."""
 
     def left(sweeps: int) -> Column:
-        return F.ceil(F.col("n") / F.lit(BLOCK**sweeps).cast("bigint")).cast("bigint")
+        return F.ceil(F.col("n") / F.lit(size**sweeps).cast("bigint")).cast("bigint")
 
-    last = left(number) <= BLOCK
+    last = left(number) <= size
     if number:
-        last = last & (left(number - 1) > BLOCK)
+        last = last & (left(number - 1) > size)
     return sizes.filter(last).withColumns({"levels": _levels(left(number)).cast("int"), "block": F.lit(0).cast("bigint")}).drop("n")
 
 
@@ -177,11 +176,12 @@ class Forest:
     ``roots`` has key and digest. ``proofs`` is the reversed sweep.
     """
 
-    def __init__(self, leaves: DataFrame):
+    def __init__(self, leaves: DataFrame, levels: int = LEVELS):
+        self.levels, self.block = levels, FANOUT**levels
         self.sizes = stored(leaves.groupBy("key").agg(F.count("*").alias("n")), "sizes")
         most = self.sizes.agg(F.max("n")).first()[0] or 0
         self.sweeps = 1
-        while most > BLOCK**self.sweeps:
+        while most > self.block**self.sweeps:
             self.sweeps += 1
         self.nodes = [leaves]
         for number in range(self.sweeps):
@@ -196,17 +196,18 @@ class Forest:
 
     def _up(self, number: int) -> DataFrame:
         schema = pa.schema([("key", pa.string()), ("place", pa.int64()), ("digest", pa.string()), ("done", pa.bool_())])
+        levels = self.levels
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             def rows() -> Iterator[tuple]:
                 for (key, block), message, nodes in _blocks(batches):
-                    top, _ = sweep([n["digest"] for n in nodes], message["levels"] if message else LEVELS)
+                    top, _ = sweep([n["digest"] for n in nodes], message["levels"] if message else levels)
                     yield key, block, top, message is not None
 
             return _batches(schema, rows())
 
         nodes = self._waiting(number).select("key", "place", "digest")
-        return _delivered(nodes, _finishing(self.sizes, number)).mapInArrow(run, "key string, place bigint, digest string, done boolean")
+        return _delivered(nodes, _finishing(self.sizes, number, self.block), self.block).mapInArrow(run, "key string, place bigint, digest string, done boolean")
 
     def proofs(self, above: DataFrame, finish, schema: str, columns: pa.Schema) -> DataFrame:
         """The reversed sweep: ``above`` has each key's ``steps`` above its root and ``root``.
@@ -216,19 +217,19 @@ class Forest:
         sizes = self.sizes.join(above, "key")
         messages = None
         for number in reversed(range(self.sweeps)):
-            own = _finishing(sizes, number)
+            own = _finishing(sizes, number, self.block)
             messages = own if messages is None else own.unionByName(messages)
-            delivered = _delivered(self._waiting(number), messages)
+            delivered = _delivered(self._waiting(number), messages, self.block)
             if number == 0:
                 return delivered.mapInArrow(_down(finish, columns), schema)
             kinds = pa.schema([("key", pa.string()), ("block", pa.int64()), ("levels", pa.int32()), ("steps", pa.string()), ("root", pa.string())])
-            sent = delivered.mapInArrow(_down(_to_block, kinds), "key string, block bigint, levels int, steps string, root string")
+            sent = delivered.mapInArrow(_down(_to_block(self.levels), kinds), "key string, block bigint, levels int, steps string, root string")
             messages = stored(sent, "proof-steps")
 
 
-def _to_block(node: dict, steps: str, root: str) -> tuple:
-    """The message to the block below a node: it climbs all LEVELS to that node."""
-    return node["key"], node["place"], LEVELS, steps, root
+def _to_block(levels: int):
+    """Makes the message to the block below a node, which climbs all ``levels`` to it."""
+    return lambda node, steps, root: (node["key"], node["place"], levels, steps, root)
 
 
 def _down(finish, columns: pa.Schema):
@@ -249,7 +250,7 @@ def _key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("n"))
 
 
-def manifest(docs: DataFrame) -> DataFrame:
+def manifest(docs: DataFrame, levels: int = LEVELS) -> DataFrame:
     """Per row: doc_id, source, leaf, subroot, root, proof_sha256, folded_root, verified, ``proof``.
 
     ``docs`` has doc_id, source, lang, n_chars and text; other columns are ignored. ``proof``
@@ -269,9 +270,9 @@ def manifest(docs: DataFrame) -> DataFrame:
         leaf_digest(text).alias("digest"),
         F.when(changed != text, leaf_digest(changed)).alias("tampered"),
     )
-    forest = Forest(placed(rows, ["doc_id", "digest", "tampered"]))
+    forest = Forest(placed(rows, ["doc_id", "digest", "tampered"]), levels)
     subroots = placed(forest.roots.select(F.lit("top").alias("key"), F.col("key").alias("name"), "digest"), ["name"])
-    top = Forest(subroots)
+    top = Forest(subroots, levels)
     found = top.roots.first()
     root = found["digest"] if found else None
     whole = top.sizes.select("key").withColumns({"steps": F.lit(""), "root": F.lit(root).cast("string")})
@@ -290,6 +291,6 @@ def manifest(docs: DataFrame) -> DataFrame:
     return forest.proofs(to_sources, finish, schema, pa.schema([(n, kinds[n]) for n in kinds]))
 
 
-def manifest_table(docs: DataFrame) -> DataFrame:
+def manifest_table(docs: DataFrame, levels: int = LEVELS) -> DataFrame:
     """Per document: doc_id, leaf, subroot, root, proof_sha256, folded_root, verified."""
-    return manifest(docs).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+    return manifest(docs, levels).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")

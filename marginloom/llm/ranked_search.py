@@ -73,8 +73,8 @@ def _layers(dense: np.ndarray, exact: int) -> list[tuple[int, np.ndarray]]:
     return out
 
 
-def tiles(counts: list[Counter], weights: dict[int, int], size: int = ITEM_TILE, exact: int = EXACT) -> list[ItemTile]:
-    """Cut items, given by their term counts, into tiles; terms without weight are left out."""
+def tiles(counts: list[Counter], weights: dict[int, int], size: int = ITEM_TILE, most_terms: int = TILE_CELLS // DOC_TILE, exact: int = EXACT) -> list[ItemTile]:
+    """Cut items, given by their term counts, into tiles, and a tile's terms into parts; terms without weight are left out."""
     out = []
     for first in range(0, len(counts), size):
         chosen = range(first, min(first + size, len(counts)))
@@ -89,7 +89,7 @@ def tiles(counts: list[Counter], weights: dict[int, int], size: int = ITEM_TILE,
         most = np.max([layer for _, layer in layers], axis=0) * LARGEST_IMPACT
         parts, begin, bound = [], 0, np.zeros(len(chosen))
         for j in range(len(vocabulary)):
-            if j > begin and (j - begin == TILE_CELLS // DOC_TILE or (bound + most[:, j]).max() >= exact):
+            if j > begin and (j - begin == most_terms or (bound + most[:, j]).max() >= exact):
                 parts.append((begin, j))
                 begin, bound = j, np.zeros(len(chosen))
             bound = bound + most[:, j]
@@ -156,7 +156,7 @@ def _counted(vocabulary: dict[bytes, int]):
     return run
 
 
-def _multiplied(held: list[ItemTile], items: int, documents: int, total: int, k: int):
+def _multiplied(held: list[ItemTile], items: int, documents: int, total: int, k: int, doc_tile: int):
     """Per item of the group its best documents among those of the task."""
 
     def block(rows: pa.Table, best: _Best) -> None:
@@ -191,11 +191,11 @@ def _multiplied(held: list[ItemTile], items: int, documents: int, total: int, k:
         for batch in batches:
             waiting.append(batch)
             rows += batch.num_rows
-            if rows >= DOC_TILE:
+            if rows >= doc_tile:
                 table = pa.Table.from_batches(waiting)
-                whole = rows // DOC_TILE * DOC_TILE
-                for at in range(0, whole, DOC_TILE):
-                    block(table.slice(at, DOC_TILE), best)
+                whole = rows // doc_tile * doc_tile
+                for at in range(0, whole, doc_tile):
+                    block(table.slice(at, doc_tile), best)
                 waiting, rows = table.slice(whole).to_batches(), rows - whole
         if rows:
             block(pa.Table.from_batches(waiting), best)
@@ -215,7 +215,9 @@ def _groups(items: DataFrame, group_bytes: int) -> Iterator[list]:
         yield rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()
 
 
-def ranked(docs: DataFrame, items: DataFrame, k: int = K, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def ranked(
+    docs: DataFrame, items: DataFrame, k: int = K, group_bytes: int = GROUP_BYTES, item_tile: int = ITEM_TILE, doc_tile: int = DOC_TILE, cells: int = TILE_CELLS
+) -> DataFrame:
     """item_id, rank, doc_id, score: each item's ``k`` documents with the highest scores above 0.
 
     ``docs`` has doc_id and text, ``items`` item_id and text; other columns are ignored.
@@ -239,9 +241,9 @@ def ranked(docs: DataFrame, items: DataFrame, k: int = K, group_bytes: int = GRO
         # one row per term of the group's items: bounded by the group's bytes
         frequencies = {r.term: r.n for r in counted.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}
         weights = {term: weight(documents, n) for term, n in frequencies.items()}
-        held = tiles([Counter({vocabulary[t]: n for t, n in bag.items()}) for bag in bags], weights)
+        held = tiles([Counter({vocabulary[t]: n for t, n in bag.items()}) for bag in bags], weights, item_tile, max(1, cells // doc_tile))
         names = spark.createDataFrame([(i, row.item_id) for i, row in enumerate(group)], "item int, item_id bigint")
-        best = counted.filter(F.size("terms") > 0).mapInArrow(_multiplied(held, len(group), documents, total, k), "item int, doc bigint, score bigint")
+        best = counted.filter(F.size("terms") > 0).mapInArrow(_multiplied(held, len(group), documents, total, k, doc_tile), "item int, doc bigint, score bigint")
         place = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), "doc"))
         top = best.withColumn("rank", place).filter(F.col("rank") <= k).join(F.broadcast(names), "item")
         part = top.select("item_id", F.col("rank").cast("int").alias("rank"), F.nullif("doc", F.lit(NO_ID)).alias("doc_id"), "score")

@@ -116,7 +116,7 @@ class Lexicon:
             for first in sorted(entries):
                 while at < len(spans) and spans[at][0] <= first:
                     reach, at = max(reach, spans[at][1]), at + 1
-                if entries[first][0] - 1 > reach:
+                if first + 1 >= reach:  # its word does not begin inside a phrase
                     kept[first] = entries[first]
             entries = kept
         return [(first, weight) for first, (_, weight) in sorted(entries.items())]

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 BLANK = " \t\n\x0b\x0c\r"
@@ -119,3 +121,61 @@ def host_and_path(url: str | None) -> tuple[str, str]:
 def rule_of(host: str, path: str, rules) -> tuple[str | None, str | None]:
     fits = [(h + p, says) for says, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
     return max(fits, key=lambda r: len(r[0]), default=(None, None))
+
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def ranked(docs: list[tuple], items: list[tuple], k: int) -> list[tuple]:
+    """(item_id, rank, doc_id, score) for rows of (doc_id, text) and (item_id, text); ids are not null."""
+    bags = [(i, Counter(TERM.findall(lower(t or "")))) for i, t in docs]
+    bags = [(i, b) for i, b in bags if b]
+    n, total = len(bags), sum(b.total() for _, b in bags)
+    df = Counter(term for _, b in bags for term in b)
+    out = []
+    for item, text in items:
+        found = []
+        for i, bag in bags:
+            m = 25 + (75 * bag.total() * n) // total
+            score = 0
+            for term in TERM.findall(lower(text or "")):
+                if tf := bag[term]:
+                    score += math.floor(1000 * math.log((2 * n + 2) / (2 * df[term] + 1))) * ((1000000000 * tf) // (1000 * tf + 8 * m))
+            if score > 0:
+                found.append((-score, i))
+        out += [(item, place + 1, i, -score) for place, (score, i) in enumerate(sorted(found)[:k])]
+    return out
+
+
+def manifest(docs: list[tuple]) -> list[tuple]:
+    """(doc_id, leaf, subroot, root, proof, folded root, verified) for rows of (doc_id, source, lang, n_chars, text)."""
+
+    def field(v) -> str:
+        return "-" if v is None else f"{len(str(v).encode())}:{v}"
+
+    def tree(digests: list[str]) -> tuple[str, list[list]]:
+        steps, at = [[] for _ in digests], list(range(len(digests)))
+        while len(digests) > 1:
+            for i, p in enumerate(at):
+                first = p // 3 * 3
+                steps[i].append(("".join(digests[first:p]), "".join(digests[p + 1 : first + 3])))
+                at[i] = p // 3
+            digests = [sha("".join(digests[i : i + 3])) for i in range(0, len(digests), 3)]
+        return digests[0], steps
+
+    sources = defaultdict(list)
+    for doc_id, source, lang, n_chars, text in docs:
+        cut = text.replace("\n", "") if text is not None and doc_id is not None and zlib.crc32(str(doc_id).encode()) % 2 == 0 else text
+        leaf, changed = (sha("".join(map(field, (doc_id, source, lang, n_chars, t)))) for t in (text, cut))
+        sources[source].append((-(2**70) if doc_id is None else doc_id, leaf, changed, doc_id))
+    names = sorted(sources, key=lambda s: (s is not None, (s or "").encode()))
+    trees = {s: tree([row[1] for row in sorted(sources[s], key=lambda r: r[:3])]) for s in names}
+    root, above = tree([trees[s][0] for s in names])
+    out = []
+    for s, up in zip(names, above, strict=True):
+        for (_, leaf, changed, doc_id), own in zip(sorted(sources[s], key=lambda r: r[:3]), trees[s][1], strict=True):
+            reached = changed
+            for before, after in own + up:
+                reached = sha(before + reached + after)
+            out.append((doc_id, leaf, trees[s][0], root, sha("".join(b + a for b, a in own + up)), reached, reached == root))
+    return out

@@ -12,14 +12,14 @@ FOLDER = "/root/testdata/sf0.001"
 
 def test_registered():
     assert set(QUERIES) <= set(queries()) and "pipeline" in queries()
-    assert [int(name[2:].split("_")[0]) for name in QUERIES] == list(range(1, 11))
+    assert [int(name[2:].split("_")[0]) for name in QUERIES] == list(range(1, 14))
     assert set(ORACLE_SQL) <= set(oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "pages", "embeddings"):
+    for table in ("documents", "pages", "embeddings", "benchmark", "labels"):
         con.execute(f"create view {table} as select * from '{FOLDER}/{table}.parquet'")
     assert check.compare(spark, con, FOLDER, name).startswith("equal")
 

@@ -1,0 +1,68 @@
+from collections import Counter
+
+import numpy as np
+from marginloom.llm import ranked_search
+from marginloom.llm.ranked_search import terms, tiles, top_rows
+from tests.llm import plain
+
+
+def _rows(df):
+    return sorted((r.item_id, r["rank"], r.doc_id, r.score) for r in df.collect())
+
+
+def test_terms():
+    text = "Ab-cd_9 É日本 x y \x00q\x7fr ÀB"
+    assert [t.decode() for t in terms(text.encode())] == plain.TERM.findall(plain.lower(text))
+    assert terms(None) == terms(b"") == terms(b" \n.,") == []
+
+
+def test_matches_plain(spark, odd, small, pairs):
+    """Several doc tiles, item tiles, parts of a vocabulary and groups of items."""
+    docs = odd.select("doc_id", "text").unionByName(small.selectExpr("doc_id + 1000 doc_id", "text")).repartition(3)
+    items = [(i, t) for i, t in pairs(odd)] + [(100, "the of and the and"), (101, None), (102, "nothing-like-this"), (103, "shared1 SHARED2 shared1")]
+    table = spark.createDataFrame(items, "item_id bigint, text string")
+    for group_bytes in (1 << 21, 60_000):
+        got = _rows(ranked_search.ranked(docs, table, 7, group_bytes, item_tile=4, doc_tile=16, cells=80))
+        assert got == sorted(plain.ranked(pairs(docs), items, 7))
+    assert len(got) > 50
+
+
+def test_ties_keep_smallest_ids(spark):
+    docs = spark.createDataFrame([(i, "same words here") for i in range(500, 0, -1)] + [(900, "other text")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, "same here")], "item_id bigint, text string")
+    assert [r[2] for r in _rows(ranked_search.ranked(docs.repartition(5), items, 10))] == list(range(1, 11))
+
+
+def test_top_rows_match_sort():
+    r = np.random.default_rng(1)
+    for _ in range(200):
+        scores, ids = r.integers(-1, 6, 40), r.permutation(40)
+        want = sorted((-s, i) for s, i in zip(scores.tolist(), ids.tolist(), strict=True) if s > 0)[:10]
+        assert [(-scores[p], ids[p]) for p in top_rows(scores, ids, 10)] == want
+
+
+def test_products_stay_exact():
+    """Parts and digits are cut so that no sum reaches the bound, and add up to the same scores."""
+    counts = [Counter({t: 1 + (t * 7) % 50 for t in range(60)}), Counter({5: 4000, 7: 1})]
+    weights = {t: 3 + t for t in range(60)}
+    values = np.arange(60) * 16000 + 7
+    want = [sum(n * weights[t] * int(values[t]) for t, n in c.items()) for c in counts]
+    for exact in (2**53, 2**34, 2**31):
+        (tile,) = tiles(counts, weights, exact=exact)
+        got = np.zeros(2, np.int64)
+        for begin, end in tile.parts:
+            for factor, dense in tile.layers:
+                assert dense[:, begin:end].sum(axis=1).max() * ranked_search.LARGEST_IMPACT < exact
+                got += factor * np.matmul(dense[:, begin:end], values[begin:end].astype(float)).astype(np.int64)
+        assert got.tolist() == want
+    assert len(tiles(counts, weights, exact=2**34)[0].parts) > 1 and len(tiles(counts, weights, exact=2**31)[0].layers) > 1
+
+
+def test_odd_rows(spark, odd_twice):
+    items = spark.createDataFrame([(1, "licence line"), (1, "licence line"), (1, "word1 word2"), (None, "copies"), (2, ""), (3, None)], "item_id bigint, text string")
+    rows = ranked_search.ranked(odd_twice.withColumnRenamed("spread", "item_id"), items.withColumn("score", items.item_id), 3).collect()
+    assert {r.item_id for r in rows} <= {1, None} and len([r for r in rows if r.item_id == 1]) == 6
+    assert any(r.doc_id is None for r in rows)
+    for docs, few in ((odd_twice.limit(0), items), (odd_twice, items.limit(0))):
+        empty = ranked_search.ranked(docs, few)
+        assert empty.columns == ["item_id", "rank", "doc_id", "score"] and empty.count() == 0
