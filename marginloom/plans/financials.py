@@ -166,12 +166,21 @@ def order_financials(t: Ledgers, with_waybills: bool = True) -> DataFrame:
         .filter(F.col("listed") == 1)
         .drop("listed")
     )
+    result = with_totals(combined)
+    if with_waybills:
+        lists = shipping.waybill_lists(t.order_shipments)
+        result = result.join(lists, "order_no", "left").fillna(NO_WAYBILL, ["waybills"])
+    return result
+
+
+def with_totals(sums: DataFrame) -> DataFrame:
+    """Costs, profit and margin from the sums of each order's facts; material cost comes in as units."""
     zero = F.lit(0).cast("bigint")
-    filled = combined.withColumns({m: F.coalesce(F.col(m), zero) for m in MEASURES})
+    filled = sums.withColumns({m: F.coalesce(F.col(m), zero) for m in MEASURES})
     filled = filled.withColumn("material_cost", material.units_to_cents(F.col("material_cost")))
     expense = F.col("material_cost") + F.col("shipping_cost") + F.col("order_fees") + F.col("pool_expense")
     net = F.col("sales") - F.col("refunds")
-    result = filled.withColumns(
+    return filled.withColumns(
         {
             "shipping_duty": zero,
             "shipping_transport": zero,
@@ -182,16 +191,22 @@ def order_financials(t: Ledgers, with_waybills: bool = True) -> DataFrame:
             "margin": money.percent(net - expense, net),
         }
     )
-    if with_waybills:
-        lists = shipping.waybill_lists(t.order_shipments)
-        result = result.join(lists, "order_no", "left").fillna(NO_WAYBILL, ["waybills"])
-    return result
+
+
+def sale_month() -> Column:
+    """The month an order's results are stored under, 0 without a date."""
+    return F.coalesce(F.date_format("sale_date", "yyyyMM").cast("int"), F.lit(0))
+
+
+def months_between(first: str, last: str) -> tuple[int, int]:
+    """The first and last stored month of a date range."""
+    low, high = (int(d[:4]) * 100 + int(d[5:7]) for d in (first, last))
+    return low, high
 
 
 def write_financials(financials: DataFrame, path: str) -> None:
     """Store per-order results by sale month, so date-ranged reports read only their months."""
-    month = F.coalesce(F.date_format("sale_date", "yyyyMM").cast("int"), F.lit(0))
-    by_month = financials.withColumn("sale_month", month).hint("rebalance", "sale_month")
+    by_month = financials.withColumn("sale_month", sale_month()).hint("rebalance", "sale_month")
     by_month.write.mode("overwrite").partitionBy("sale_month").parquet(path)
 
 
@@ -199,6 +214,5 @@ def read_financials(spark, path: str, first: str | None = None, last: str | None
     """Stored results of the months that touch the date range; other folders are not read. Without dates, all."""
     stored = spark.read.parquet(path)
     if first and last:
-        low, high = (int(d[:4]) * 100 + int(d[5:7]) for d in (first, last))
-        stored = stored.filter(F.col("sale_month").between(low, high))
+        stored = stored.filter(F.col("sale_month").between(*months_between(first, last)))
     return stored.drop("sale_month")

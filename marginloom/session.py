@@ -38,16 +38,23 @@ def local_session(cpus: int | str = "*", memory: str = "8g") -> SparkSession:
     return spark
 
 
+# Temporary roots of local sessions without a checkpoint folder, by application. Spark takes that setting only at start.
+_OWN_ROOTS: dict[str, str] = {}
+
+
+def _own_root(spark: SparkSession) -> str:
+    application = spark.sparkContext.applicationId
+    if application not in _OWN_ROOTS:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
+        _OWN_ROOTS[application] = tempfile.mkdtemp(prefix="run-")
+    return _OWN_ROOTS[application]
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, the place every executor can reach.
 
-    Only a local master may fall back to a temporary folder of this machine.
+    Only a local master may fall back to a temporary folder of this machine, one for each application.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        master = spark.conf.get("spark.master", "")
-        if not master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-        root = tempfile.mkdtemp(prefix="run-")
-        spark.conf.set("spark.checkpoint.dir", root)
+    root = spark.conf.get("spark.checkpoint.dir", None) or _own_root(spark)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"

@@ -21,7 +21,7 @@ from marginloom.operators import (
 from marginloom.plans import financials
 from marginloom.session import shared_folder
 from marginloom.sources import billing, files, sheets, shipments, sinks, statements
-from marginloom.streaming import incremental
+from marginloom.streaming import incremental, refresh
 from marginloom.workload import landing
 from marginloom.workload.tables import Workload
 
@@ -131,8 +131,8 @@ def replace_table(w):
     """Allocations by the last bill only, replaced by those of all bills."""
     path = shared_folder(w.spark, "allocations")
     latest = shipping.waybill_cost_latest(w.carrier_billing)
-    sinks.replace_table(shipping.allocate_shipping(latest, w.order_shipments), path, 1)
-    sinks.replace_table(w.shipping_allocations, path, 2)
+    sinks.replace_table(shipping.allocate_shipping(latest, w.order_shipments), path)
+    sinks.replace_table(w.shipping_allocations, path)
     return _money(sinks.current_table(w.spark, path), "allocated_cents")
 
 
@@ -443,7 +443,7 @@ def expense_breakdown(w):
 
 @query
 def order_breakdown(w):
-    return reports.order_breakdown(_fin(w), ORDER)
+    return reports.order_breakdown(_stored(w), ORDER)
 
 
 @query
@@ -562,13 +562,52 @@ def ingest_billing(w):
     return _money(shipping.waybill_cost(rows), "cost_cents")
 
 
-@query
-def sync_inventory(w):
+@built_once
+def _inventory_store(w):
+    """A store fed by two loads of sheet rows."""
     landed, store = shared_folder(w.spark, "landing"), shared_folder(w.spark, "inventory-store")
     for part in ("row_index % 10 < 4", "row_index % 10 >= 4"):
         landing.sheet_cells(w).filter(part).write.mode("append").parquet(landed)
         incremental.sync_inventory(w.spark, landed, store)
-    return _quantities(incremental.current_inventory(w.spark, store))
+    return store
+
+
+@query
+def sync_inventory(w):
+    return _quantities(incremental.current_inventory(w.spark, _inventory_store(w)))
+
+
+def _stores(w):
+    return refresh.Stores(_statement_store(w), _billing_store(w), _inventory_store(w))
+
+
+@built_once
+def _first_refresh(w):
+    """Financials refreshed after the first load of each store and the second mapping step."""
+    path = shared_folder(w.spark, "refreshed")
+    for billing_step in (0, 1):
+        refresh.refresh_financials(w.spark, _stores(w), path, {"statements": 0, "billing": billing_step, "inventory": 0})
+    return path
+
+
+@built_once
+def _second_refresh(w):
+    """The same, after all loads."""
+    path = _first_refresh(w)
+    refresh.refresh_financials(w.spark, _stores(w), path)
+    return path
+
+
+@query
+def refreshed_financials(w):
+    return money.in_currency(refresh.stored_financials(w.spark, _second_refresh(w)), *financials.MONEY_COLUMNS)
+
+
+@query
+def refreshed_monthly_performance(w):
+    """A report on the months it shows, from the refreshed results."""
+    stored = refresh.stored_financials(w.spark, _second_refresh(w), FIRST, "1999-12-31")
+    return reports.monthly_performance(stored, FIRST, "1999-12-31")
 
 
 @query

@@ -1,0 +1,28 @@
+"""A session whose configuration names no checkpoint folder."""
+
+import os
+import subprocess
+import sys
+from pathlib import Path
+
+ROOT = Path(__file__).resolve().parents[1]
+
+SCRIPT = """
+from marginloom.session import local_session, shared_folder
+from marginloom.streaming import incremental as inc
+import pathlib, tempfile
+spark = local_session(2, memory="1g")
+assert spark.conf.get("spark.checkpoint.dir", None) is None
+one, two = shared_folder(spark, "a"), shared_folder(spark, "a")
+assert one != two and pathlib.Path(one).parent == pathlib.Path(two).parent
+landing = pathlib.Path(tempfile.mkdtemp())
+(landing / "a.csv").write_text("Type,Title,Date,Amount,Net\\nSale,Payment for Order #4105054431,2026-06-01,5,5\\n")
+inc.ingest_statements(spark, str(landing), shared_folder(spark, "store"))
+print("loaded", pathlib.Path(one).parent)
+"""
+
+
+def test_loads_run_without_a_preset_folder(tmp_path):
+    environment = os.environ | {"SPARK_CONF_DIR": str(tmp_path), "PYTHONPATH": str(ROOT), "TMPDIR": str(tmp_path)}
+    done = subprocess.run([sys.executable, "-c", SCRIPT], env=environment, capture_output=True, text=True, timeout=300)
+    assert f"loaded {tmp_path}" in done.stdout, done.stderr[-2000:]
