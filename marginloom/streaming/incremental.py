@@ -18,14 +18,17 @@ from marginloom.operators import cleaning, inventory, ledger, pools, quality, sh
 from marginloom.operators.activity import BILLING, INVENTORY, STATEMENT
 from marginloom.sources import billing, delimited, sheets, statements
 from marginloom.sources.files import digests_of, unseen_files
-from marginloom.sources.sinks import create_table, read_batch, read_batches, write_batch
+from marginloom.sources.sinks import create_table, read_batch, read_batches, remove_batch, write_batch
 
 LOG = "source string, last_row bigint, synced_at timestamp"
 FILES = (
     "file string, file_hash string, file_bytes bigint, total_rows bigint, failed_rows bigint, unparsed_dates bigint,"
     " status string, error string"
 )
-NEW_FILES = "file string, file_hash string, file_bytes bigint"
+NEW_FILES = "file string, file_hash string, file_bytes bigint, open_quote boolean"
+LINES = "value string, file string, block bigint, line_id bigint, task int"
+PARSED = ", ".join(f"{field} string" for field in statements.STATEMENT_HEADERS) + ", file string"
+ATTEMPTS = "import_id bigint, file string, status string, error string, step string, started_at timestamp, beat_at timestamp"
 TRANSACTIONS = (
     "import_id bigint, type string, title string, info string, currency string, tax_details string,"
     " amount_cents bigint, fees_cents bigint, net_cents bigint, transaction_date date, order_no string,"
@@ -77,10 +80,26 @@ def sync_log(spark: SparkSession, *stores: str) -> DataFrame:
 
 
 def _new_files(batch: DataFrame, store: str, batch_id: int) -> DataFrame:
-    """file, file_hash and file_bytes of the batch's files that no earlier load has completed."""
+    """The batch's files that no earlier load has completed, as NEW_FILES."""
     seen = read_batches(batch.sparkSession, f"{store}/files", FILES, before=batch_id)
-    sizes = batch.groupBy("file").agg(F.max("file_bytes").alias("file_bytes"))
-    return unseen_files(digests_of(batch), seen).join(sizes, "file")
+    return unseen_files(digests_of(batch), seen).select("file", "file_hash", "file_bytes", "open_quote")
+
+
+class _Attempt:
+    """The audit entry of a load that is not finished: PROCESSING, with the time of its last step.
+
+    A load that is tried again has the same batch and import ids and takes the entry over.
+    """
+
+    def __init__(self, fresh: DataFrame, store: str, batch_id: int, import_id: Callable[[Column], Column]):
+        self.path, self.batch_id = f"{store}/attempts", batch_id
+        self.files = fresh.select(import_id(F.col("file")).alias("import_id"), "file")
+        self.started = fresh.sparkSession.range(1).select(F.current_timestamp()).first()[0]
+
+    def at(self, step: str, status: str = "PROCESSING", error: str | None = None) -> None:
+        told = [F.lit(status).alias("status"), F.lit(error).cast("string").alias("error"), F.lit(step).alias("step")]
+        times = [F.lit(self.started).alias("started_at"), F.current_timestamp().alias("beat_at")]
+        write_batch(self.files.select("import_id", "file", *told, *times), self.path, self.batch_id)
 
 
 def _file_key(file: Column) -> Column:
@@ -88,6 +107,15 @@ def _file_key(file: Column) -> Column:
     return F.coalesce(F.regexp_extract(file, r"import_id=(\d+)", 1).try_cast("bigint"), F.xxhash64(file))
 
 
+def begin_load(batch: DataFrame, store: str, batch_id: int, import_id: Callable[[Column], Column] = _file_key) -> tuple[DataFrame, _Attempt]:
+    """Find the new files of a batch and enter them as PROCESSING; nothing else is done yet."""
+    write_batch(_new_files(batch, store, batch_id), f"{store}/new_files", batch_id)
+    fresh = read_batch(batch.sparkSession, f"{store}/new_files", NEW_FILES, batch_id)
+    attempt = _Attempt(fresh, store, batch_id, import_id)
+    attempt.at("parse")
+    return fresh, attempt
+
+
 def ingest_statements(
     spark: SparkSession, landing: str, store: str, import_id: Callable[[Column], Column] = _file_key
 ) -> None:
@@ -99,6 +127,8 @@ def ingest_statements(
     tables = {
         "files": FILES,
         "new_files": NEW_FILES,
+        "attempts": ATTEMPTS,
+        "parsed": PARSED,
         "staged": TRANSACTIONS,
         "transactions": TRANSACTIONS,
         "pool_batches": POOL_BATCHES,
@@ -111,23 +141,34 @@ def ingest_statements(
 
     def load(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        write_batch(_new_files(batch, store, batch_id), f"{store}/new_files", batch_id)
-        fresh = read_batch(session, f"{store}/new_files", NEW_FILES, batch_id)
-        rows = statements.statement_rows(batch.join(fresh, "file", "left_semi")).filter(statements.has_content())
+        fresh, attempt = begin_load(batch, store, batch_id, import_id)
+        try:
+            work(session, batch, fresh, attempt, batch_id)
+        except Exception as error:
+            attempt.at("stopped", "FAILED", f"{type(error).__name__}: {error}"[:500])
+            raise
+
+    def work(session: SparkSession, batch: DataFrame, fresh: DataFrame, attempt: _Attempt, batch_id: int) -> None:
+        lines = _landed(session, batch, fresh, store, batch_id)
+        rows = statements.statement_rows(lines, fresh.count()).filter(statements.has_content())
+        write_batch(rows.drop("block", "line_id"), f"{store}/parsed", batch_id)
+        rows = read_batch(session, f"{store}/parsed", PARSED, batch_id)
         write_batch(_checked_files(fresh, rows), f"{store}/files", batch_id)
         files = read_batch(session, f"{store}/files", FILES, batch_id)
 
+        attempt.at("clean")
         taken = files.filter(F.col("status") == "COMPLETED").select("file")
-        rows = rows.join(taken, "file", "left_semi").withColumn("import_id", import_id(F.col("file")))
-        rows = rows.drop("file", "block", "line_id")
+        rows = rows.join(taken, "file", "left_semi").withColumn("import_id", import_id(F.col("file"))).drop("file")
         numbered = cleaning.number_occurrences(cleaning.clean_statement(rows))
         write_batch(numbered, f"{store}/staged", batch_id)
         staged = read_batch(session, f"{store}/staged", TRANSACTIONS, batch_id)
 
+        attempt.at("append")
         new = _unknown(staged, read_batches(session, f"{store}/transactions", TRANSACTIONS, before=batch_id))
         write_batch(new, f"{store}/transactions", batch_id)
         new = read_batch(session, f"{store}/transactions", TRANSACTIONS, batch_id)
 
+        attempt.at("allocate")
         store_rows = ledger.expenses_of(new.filter(F.col("scope") == "ETSY"))
         earlier = read_batches(session, f"{store}/pool_allocations", POOL_ALLOCATIONS, before=batch_id)
         candidates = pools.eligible_orders(ledger.sales_of(new.filter(ledger.is_sale())), earlier)
@@ -139,13 +180,49 @@ def ingest_statements(
         flagged = staged.join(kept, ["transaction_hash", "import_id"], "left").fillna(False, ["is_new"])
         write_batch(_audit(files, quality.import_counts(flagged), import_id), f"{store}/imports", batch_id)
         _log(session, store, STATEMENT, staged.agg(F.count("*").alias("last_row")), batch_id)
+        remove_batch(session, f"{store}/lines", batch_id)
 
     lines = delimited.stream_lines(spark.readStream, landing)
     _run(lines, load, f"{store}/_checkpoint")
 
 
+def _landed(session: SparkSession, batch: DataFrame, fresh: DataFrame, store: str, batch_id: int) -> DataFrame:
+    """The lines of the new files, taken over into the store: landed files are read for their digest and here, no more.
+
+    Of a split that two tasks have read, the lines of one are used (see ``digests_of``).
+    """
+    told = batch.withColumns({"line_id": F.monotonically_increasing_id(), "task": F.spark_partition_id()})
+    write_batch(told.join(fresh, "file", "left_semi").select("value", "file", "block", "line_id", "task"), f"{store}/lines", batch_id)
+    lines = read_batch(session, f"{store}/lines", LINES, batch_id)
+    once = lines.groupBy("file", "block").agg(F.min("task").alias("task"))
+    return lines.join(once, ["file", "block", "task"], "left_semi").drop("task")
+
+
+def import_audit(spark: SparkSession, store: str, silent_minutes: int = 30) -> DataFrame:
+    """All imports with their state: import_id, file, status, error, total_rows, new_rows.
+
+    A load that has begun and not ended is PROCESSING; one that has not moved on for
+    ``silent_minutes`` is FAILED, as is one that was stopped by an error. Its next try keeps
+    the import's id. Finished imports are COMPLETED or FAILED.
+    """
+    columns = ["import_id", "file", "status", "error", "total_rows", "new_rows"]
+    done = committed(spark, store, "imports", IMPORTS).select(*columns)
+    logged = spark.read.parquet(f"{store}/sync_log").select("batch_id").distinct()
+    open_ = read_batches(spark, f"{store}/attempts", ATTEMPTS).filter("batch_id >= 0").join(logged, "batch_id", "left_anti")
+    silent = (F.col("status") == "PROCESSING") & (F.col("beat_at") < F.current_timestamp() - F.make_interval(mins=F.lit(silent_minutes)))
+    states = {
+        "error": F.when(silent, F.concat(F.lit("silent since the step "), F.col("step"))).otherwise(F.col("error")),
+        "status": F.when(silent, "FAILED").otherwise(F.col("status")),
+    }
+    zero = F.lit(0).cast("bigint")
+    running = open_.withColumns(states).groupBy("import_id").agg(
+        F.min("file").alias("file"), F.max("status").alias("status"), F.max("error").alias("error"), F.min(zero).alias("total_rows"), F.min(zero).alias("new_rows")
+    )
+    return done.unionByName(running.select(*columns))
+
+
 def _checked_files(fresh: DataFrame, rows: DataFrame) -> DataFrame:
-    """The new files with their row counts, status and error."""
+    """The new files with their row counts, status and error; a file with an open quote is refused."""
     amounts = [money.cents_from_text(F.col(c)).isNull() for c in ("amount", "fees", "net")]
     undated = (F.col("date") != "") & text.clean_date(F.col("date")).isNull()
     counts = rows.groupBy("file").agg(
@@ -155,12 +232,13 @@ def _checked_files(fresh: DataFrame, rows: DataFrame) -> DataFrame:
     )
     checked = fresh.join(counts, "file", "left").fillna(0, ["total_rows", "failed_rows", "unparsed_dates"])
     failed = F.col("failed_rows") > 0
-    return checked.withColumns(
-        {
-            "status": F.when(failed, "FAILED").otherwise("COMPLETED"),
-            "error": F.when(failed, F.concat(F.col("failed_rows").cast("string"), F.lit(" rows with an unreadable amount"))),
-        }
-    )
+    states = {
+        "status": F.when(failed | F.col("open_quote"), "FAILED").otherwise("COMPLETED"),
+        "error": F.when(F.col("open_quote"), "a quote is not closed").when(
+            failed, F.concat(F.col("failed_rows").cast("string"), F.lit(" rows with an unreadable amount"))
+        ),
+    }
+    return checked.withColumns(states).drop("open_quote")
 
 
 def _audit(files: DataFrame, counts: DataFrame, import_id: Callable[[Column], Column]) -> DataFrame:
@@ -195,26 +273,31 @@ def _unknown(staged: DataFrame, known: DataFrame) -> DataFrame:
 
 def ingest_billing(spark: SparkSession, landing: str, store: str) -> None:
     """Load new billing files and refuse those with a bad row. Allocations are the work of ``sync_mappings``."""
-    tables = {"files": FILES, "staged": BILLING_ROWS, "billing": BILLING_ROWS, "sync_log": LOG}
+    tables = {"files": FILES, "new_files": NEW_FILES, "staged": BILLING_ROWS, "billing": BILLING_ROWS, "sync_log": LOG}
     for name, schema in tables.items():
         create_table(spark, f"{store}/{name}", schema)
 
     def load(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        rows = billing.clean_billing(billing.billing_rows(batch)).drop("block")
-        write_batch(rows, f"{store}/staged", batch_id)
+        write_batch(_new_files(batch, store, batch_id), f"{store}/new_files", batch_id)
+        fresh = read_batch(session, f"{store}/new_files", NEW_FILES, batch_id)
+        lines = _landed(session, batch, fresh, store, batch_id)
+        write_batch(billing.clean_billing(billing.billing_rows(lines, fresh.count())).drop("block"), f"{store}/staged", batch_id)
         staged = read_batch(session, f"{store}/staged", BILLING_ROWS, batch_id)
 
         checks = quality.validate_billing(staged)
-        status = F.when(F.col("accepted"), "COMPLETED").otherwise("REJECTED")
-        error = F.when(~F.col("accepted"), F.concat(F.col("failed_rows").cast("string"), F.lit(" bad rows")))
-        checked = _new_files(batch, store, batch_id).join(checks, "file")
-        checked = checked.withColumns({"status": status, "error": error, "unparsed_dates": F.lit(0).cast("bigint")}).drop("accepted")
+        accepted = F.col("accepted") & ~F.col("open_quote")
+        status = F.when(accepted, "COMPLETED").otherwise("REJECTED")
+        bad = F.concat(F.col("failed_rows").cast("string"), F.lit(" bad rows"))
+        error = F.when(F.col("open_quote"), "a quote is not closed").when(~accepted, bad)
+        checked = fresh.join(checks, "file").withColumns({"status": status, "error": error, "unparsed_dates": F.lit(0).cast("bigint")})
+        checked = checked.drop("accepted", "open_quote")
         write_batch(checked, f"{store}/files", batch_id)
         files = read_batch(session, f"{store}/files", FILES, batch_id).filter(F.col("status") == "COMPLETED")
         write_batch(staged.join(files, "file", "left_semi"), f"{store}/billing", batch_id)
         billed = read_batches(session, f"{store}/billing", BILLING_ROWS, before=batch_id + 1)
         _log(session, store, BILLING, billed.agg(F.count("*").alias("last_row")), batch_id)
+        remove_batch(session, f"{store}/lines", batch_id)
 
     lines = delimited.stream_lines(spark.readStream, landing)
     _run(lines, load, f"{store}/_checkpoint")

@@ -20,7 +20,7 @@ from marginloom.operators import (
 )
 from marginloom.plans import financials
 from marginloom.session import shared_folder
-from marginloom.sources import billing, files, sheets, shipments, sinks, statements
+from marginloom.sources import billing, delimited, files, sheets, shipments, sinks, statements
 from marginloom.streaming import incremental, refresh
 from marginloom.workload import landing
 from marginloom.workload.tables import Workload
@@ -522,6 +522,26 @@ def ingest_audit(w):
     return rows.select("import_id", "status", "error", "total_rows", "failed_rows", "unparsed_dates", "new_rows", "duplicate_rows", "new_sales", "new_expenses")
 
 
+@built_once
+def _stopped_store(w):
+    """A store with a finished load, unreadable files among it, and a load that has begun and gone no further."""
+    landed, later, store = (shared_folder(w.spark, name) for name in ("landing", "later", "stopped-store"))
+    columns = ["import_id", "type", "title", "info", "date", "amount", "fees", "net", "currency", "tax_details"]
+    lines = w.statement_lines.filter("category = 'REFUND'").select(*columns)
+    early = w.poison_lines.select(*columns).unionByName(lines.filter("import_id < 1998000"))
+    landing.write_layouts(early, landing.STATEMENT_LAYOUTS, landed)
+    incremental.ingest_statements(w.spark, landed, store)
+    landing.write_layouts(lines.filter("import_id >= 1998000"), landing.STATEMENT_LAYOUTS, later)
+    incremental.begin_load(delimited.read_lines(w.spark, later), store, 1)
+    return store
+
+
+@query
+def import_audit(w):
+    audit = incremental.import_audit(w.spark, _stopped_store(w))
+    return audit.select("import_id", "status", "error", "total_rows", "new_rows")
+
+
 @query
 def ingest_sync_status(w):
     """The load's own audit and log; the times are when it ran."""

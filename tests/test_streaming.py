@@ -201,3 +201,45 @@ def test_dedupe_stream(spark, tmp_path):
         inc.dedupe_stream(spark.readStream.schema("id bigint").parquet(landing), store, "id bigint", "id")
     rows = inc.committed(spark, store, "rows", "id bigint").collect()
     assert sorted(r.id for r in rows) == [1, 2, 3]
+
+
+def test_open_quote_fails_its_file_only(statements):
+    landing, load = statements
+    put(landing, "st[1].csv", sale("4105054431", "10.00") + '"June 01, 2026",Sale,"Payment for Order #4105054432\nmore",--,INR,1,--,1,--\n')
+    put(landing, "open.csv", sale("4105054433", "10.00") + 'Fee,"never closed,1\n')
+    got = load()
+    assert {r.order_no for r in got["transactions"]} == {"4105054431", "4105054432"}
+    assert {(r.status, r.error) for r in got["imports"]} == {("COMPLETED", None), ("FAILED", "a quote is not closed")}
+
+
+def test_audit_follows_a_load(spark, tmp_path, monkeypatch):
+    landing, store = tmp_path / "landing", shared_folder(spark, "audit")
+    states = lambda **k: {r.file.rsplit("/", 1)[-1]: (r.status, r.error, r.new_rows) for r in inc.import_audit(spark, store, **k).collect()}
+    put(landing, "a.csv", sale("4105054431", "10.00"))
+    inc.ingest_statements(spark, str(landing), store)
+    assert states() == {"a.csv": ("COMPLETED", None, 1)}
+
+    # stopped by an error: FAILED with the reason
+    put(landing, "b.csv", sale("4105054432", "20.00"))
+    seen = []
+    with monkeypatch.context() as m:
+        def lost(*_):
+            seen.append(states()["b.csv"])
+            raise RuntimeError("lost")
+
+        m.setattr(inc, "_unknown", lost)
+        with pytest.raises(Exception, match="lost"):
+            inc.ingest_statements(spark, str(landing), store)
+    assert seen == [("PROCESSING", None, 0)] and states()["b.csv"] == ("FAILED", "RuntimeError: lost", 0)
+
+    # gone without a word: PROCESSING until it has been silent for long
+    lines = inc.delimited.read_lines(spark, str(landing))
+    inc.begin_load(lines, store, 1)
+    assert states()["b.csv"] == ("PROCESSING", None, 0)
+    assert states(silent_minutes=0)["b.csv"] == ("FAILED", "silent since the step parse", 0)
+    before = {r.file: r.import_id for r in inc.import_audit(spark, store).collect()}
+
+    # the next run takes the load over under the same id
+    inc.ingest_statements(spark, str(landing), store)
+    assert states() == {"a.csv": ("COMPLETED", None, 1), "b.csv": ("COMPLETED", None, 1)}
+    assert {r.file: r.import_id for r in inc.import_audit(spark, store).collect()} == before
