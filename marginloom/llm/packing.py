@@ -11,8 +11,7 @@ leaves open are packed once more with those of other groups.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right, insort
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,10 +26,6 @@ TOKENS = 2048
 END_ID = 0
 VOCABULARY = "byte_bpe_50k.json"
 GROUP_PIECES = 20_000
-# Bounds of the neighbourhood that the local search looks at; no piece depends on them, only the number of sequences.
-ATTEMPTS = 64
-NEIGHBOURS = 256
-PASSES = 32
 # Sequences below this fill are packed once more with those of other groups.
 OPEN_PERCENT = 97
 
@@ -80,67 +75,118 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def _best_exchange(full: list[tuple[int, int]], low: list[tuple[int, int]], free: int):
-    """The exchange that brings most tokens, at most ``free``, from ``low`` to ``full``: (gain, taken, given).
+class _Rooms:
+    """What each sequence could take in, by room: its free space alone, or with one piece given back.
 
-    Both hold (length, piece), ascending. One or two pieces come, at most one goes back.
+    A bucket for every number of tokens holds (sequence, length given back); one integer's
+    bits tell which buckets are not empty, so the tightest room is found at once.
     """
-    best = (0, (), ())
-    back = [(0, ()), *((n, ((n, i),)) for n, i in full)]
-    own = [n for n, _ in low]
-    for returned, given in back:
-        room = free + returned
-        at = bisect_right(own, room) - 1
-        if at >= 0 and own[at] - returned > best[0]:
-            best = (own[at] - returned, (low[at],), given)
-        if not given:
-            continue
-        i, j = 0, len(own) - 1  # the pair with the largest sum within the room
-        while i < j:
-            if own[i] + own[j] > room:
-                j -= 1
-            else:
-                if own[i] + own[j] - returned > best[0]:
-                    best = (own[i] + own[j] - returned, (low[i], low[j]), given)
-                i += 1
-        if best[0] == free:
-            break
-    return best
+
+    def __init__(self, capacity: int):
+        self.capacity, self.buckets, self.filled = capacity, [{} for _ in range(capacity + 1)], 0
+
+    def _places(self, at: int, lengths: Iterable[int], free: int) -> Iterator[tuple[int, tuple[int, int]]]:
+        if free:
+            for back in {0, *lengths}:
+                yield free + back, (at, back)
+
+    def add(self, at: int, lengths: Iterable[int], free: int) -> None:
+        for room, entry in self._places(at, lengths, free):
+            self.buckets[room][entry] = None
+            self.filled |= 1 << room
+
+    def drop(self, at: int, lengths: Iterable[int], free: int) -> None:
+        for room, entry in self._places(at, lengths, free):
+            del self.buckets[room][entry]
+            if not self.buckets[room]:
+                self.filled &= ~(1 << room)
+
+    def tightest(self, size: int, least_fill: int, fill: list[int], most_left: int) -> tuple[int, int, int] | None:
+        """(space left, sequence, length given back) of the tightest room for ``size`` that ends fuller; leaves at most ``most_left``."""
+        rooms = self.filled >> size
+        while rooms:
+            left = (rooms & -rooms).bit_length() - 1
+            if left > most_left:
+                return None
+            for at, back in self.buckets[size + left]:
+                if back < size and fill[at] >= least_fill:
+                    return left, at, back
+            rooms &= rooms - 1
+        return None
 
 
 def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
     """Exchange pieces between underfull sequences while that raises the sum of squared fills.
 
-    Goes through the ATTEMPTS emptiest sequences, each of which gives tokens to the
-    NEIGHBOURS emptiest of the fuller ones, until no fewer sequences could hold the tokens,
-    nothing improves, or PASSES are over.
+    Each underfull sequence, the emptiest first, gives one or two pieces to any fuller one and
+    takes at most one smaller piece back; of all such exchanges the one that leaves the least
+    space comes first. This goes on over all underfull sequences until a pass finds no
+    exchange, or no fewer sequences could hold the tokens. Every exchange moves tokens to
+    the fuller of two sequences, so the sum of squares grows and the search ends.
     """
-    held = [sorted((int(lengths[i]), i) for i in b) for b in bins]
-    fill = [sum(n for n, _ in b) for b in held]
+    held: list[dict[int, list[int]]] = []  # by length the pieces of a sequence
+    for b in bins:
+        held.append({})
+        for i in b:
+            held[-1].setdefault(int(lengths[i]), []).append(i)
+    fill = [sum(n * len(p) for n, p in h.items()) for h in held]
     least = -(-sum(fill) // capacity)
-    count, improved, passes = len(held), True, 0
-    while improved and count > least and passes < PASSES:
-        improved, passes = False, passes + 1
-        order = sorted((b for b in range(len(held)) if 0 < fill[b] < capacity), key=lambda b: fill[b])
-        for place, low in enumerate(order[:ATTEMPTS]):
-            for full in sorted(order[place + 1 : place + 1 + NEIGHBOURS], key=lambda b: fill[b]):
-                if not held[low] or count == least:
+    count, improved, rooms = len(held), True, _Rooms(capacity)
+    for at, h in enumerate(held):
+        rooms.add(at, h, capacity - fill[at])
+
+    def put(at: int, size: int, piece: int) -> None:
+        held[at].setdefault(size, []).append(piece)
+        fill[at] += size
+
+    def take(at: int, size: int) -> int:
+        piece = held[at][size].pop()
+        if not held[at][size]:
+            del held[at][size]
+        fill[at] -= size
+        return piece
+
+    while improved and count > least:
+        improved = False
+        for low in sorted((at for at, n in enumerate(fill) if 0 < n < capacity), key=lambda at: (fill[at], at)):
+            if not 0 < fill[low] < capacity:
+                continue
+            rooms.drop(low, held[low], capacity - fill[low])
+            while held[low] and count > least:
+                best = None
+                for sizes in _given(held[low]):
+                    size = sum(sizes)
+                    found = rooms.tightest(size, fill[low], fill, capacity if best is None else best[0][0])
+                    if found:
+                        left, at, back = found
+                        rank = (left, back - size)
+                        if best is None or rank < best[0]:
+                            best = (rank, sizes, at, back)
+                if best is None:
                     break
-                if fill[full] >= capacity or fill[full] < fill[low]:
-                    continue
-                gain, taken, given = _best_exchange(held[full], held[low], capacity - fill[full])
-                if gain:
-                    for one in taken:
-                        held[low].remove(one)
-                        insort(held[full], one)
-                    for one in given:
-                        held[full].remove(one)
-                        insort(held[low], one)
-                    fill[full] += gain
-                    fill[low] -= gain
-                    improved = True
-            count = sum(map(bool, held)) if not held[low] else count
-    return [[i for _, i in b] for b in held if b]
+                _, sizes, at, back = best
+                rooms.drop(at, held[at], capacity - fill[at])
+                returned = take(at, back) if back else None
+                for size in sizes:
+                    put(at, size, take(low, size))
+                if returned is not None:
+                    put(low, back, returned)
+                rooms.add(at, held[at], capacity - fill[at])
+                improved = True
+                count -= not held[low]
+            rooms.add(low, held[low], capacity - fill[low] if held[low] else 0)
+    return [sorted(i for pieces in h.values() for i in pieces) for h in held if h]
+
+
+def _given(held: dict[int, list[int]]) -> Iterator[tuple[int, ...]]:
+    """The different lengths, and pairs of lengths, that a sequence can give."""
+    sizes = sorted(held, reverse=True)
+    for i, one in enumerate(sizes):
+        yield (one,)
+        if len(held[one]) > 1:
+            yield (one, one)
+        for other in sizes[i + 1 :]:
+            yield (one, other)
 
 
 def pack(lengths: np.ndarray, capacity: int = TOKENS) -> list[list[int]]:

@@ -76,3 +76,33 @@ def test_packs_near_the_bound(seed):
 def test_fast_ids_are_the_librarys(text):
     want = tokenizer(packing.VOCABULARY).encode(text, add_special_tokens=False).ids
     assert byte_ids(text, packing.VOCABULARY).tolist() == want
+
+
+def test_similar_lengths_are_searched_to_the_end():
+    """A group of the full size, of lengths that best fit packs badly: every sequence is looked at."""
+    lengths = np.random.default_rng(0).integers(500, 901, packing.GROUP_PIECES)
+    first = packing.best_fit(lengths, packing.TOKENS)
+    out = packing.local_search(first, lengths, packing.TOKENS)
+    assert sorted(i for b in out for i in b) == list(range(len(lengths)))
+    assert max(sum(lengths[b]) for b in out) <= packing.TOKENS
+    assert len(out) <= 7305 < len(first)
+
+
+def test_an_exchange_ends_fuller():
+    """Against all moves, 1-1 and 2-1 exchanges by brute force: none that raises the squares is left."""
+    r = np.random.default_rng(5)
+    for _ in range(40):
+        lengths = r.integers(1, 40, 14)
+        out = packing.local_search(packing.best_fit(lengths, 60), lengths, 60)
+        if len(out) == -(-lengths.sum() // 60):
+            continue
+        sums = [sum(lengths[b]) for b in out]
+        for low, a in enumerate(out):
+            for full, b in enumerate(out):
+                if low == full or sums[low] > sums[full]:
+                    continue
+                given = [(i,) for i in a] + [(i, j) for i in a for j in a if i < j]
+                for g in given:
+                    for back in [0, *lengths[b]]:
+                        gain = sum(lengths[list(g)]) - back
+                        assert not (gain > 0 and sums[full] + gain <= 60)
