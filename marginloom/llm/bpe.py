@@ -29,7 +29,7 @@ from marginloom.llm.common import for_python
 from marginloom.llm.tokenizing import tokenizer
 
 VOCABULARY = "word_bpe_49k.json"
-LEAF_CHARS = 1 << 17  # below, dealing the leaves out costs more than encoding them
+LEAF_CHARS = 1 << 16
 WINDOW_CHARS = 64
 AGREEING_TOKENS = 4
 
@@ -114,7 +114,6 @@ class _Memory:
         added = self.tokenizer.get_added_tokens_decoder()
         # A special token never joins its neighbours, so it can stand between words encoded together.
         self.border, self.border_text = next((i, t.content) for i, t in added.items() if t.special)
-        self.special = [t.content.encode() for t in added.values()]
         self.ids: dict[bytes, bytes] = {}
         self.decoded: dict[bytes, bytes] = {}
         self.silent: set[bytes] = set()  # words without tokens
@@ -252,9 +251,9 @@ def _short_ids(name: str):
 
 def _split_by_length(docs: DataFrame, chars: int) -> tuple[DataFrame, DataFrame]:
     text = F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary"))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"))
-    long = F.octet_length("text") > chars
-    return rows.filter(~long), rows.filter(long)
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.coalesce(F.length("text"), F.lit(0)).alias("chars"))
+    long = F.col("chars") > chars
+    return rows.filter(~long).drop("chars"), rows.filter(long).drop("chars")
 
 
 def _long_parts(long: DataFrame, name: str, chars: int) -> DataFrame:
