@@ -58,8 +58,17 @@ def test_exchanges_raise_squares_and_empty_sequences():
     lengths = np.array([6, 3, 5, 4, 2])
     out = packing.local_search([[0, 1], [2, 3], [4]], lengths, 10)
     assert len(out) == 2 and sorted(i for b in out for i in b) == list(range(5))
-    gain, taken, given = packing._best_exchange([(2, 0), (5, 1)], [(3, 2), (4, 3)], 3)
-    assert gain == 3 and sum(n for n, _ in taken) - sum(n for n, _ in given) == 3
+
+
+def test_tightest_room():
+    """A sequence with 3 free and pieces of 2 and 5 takes 3 as it is, or up to 5 or 8 for a piece given back."""
+    rooms = packing._Rooms(10)
+    rooms.add(0, [2, 5], 3)
+    found = lambda size, most=10, least=0: rooms.tightest(size, least, [7], most)
+    assert found(3) == (0, 0, 0) and found(4) == (1, 0, 2) and found(7) == (1, 0, 5)
+    assert found(9) is None and found(7, most=0) is None and found(3, least=8) is None
+    rooms.drop(0, [2, 5], 3)
+    assert rooms.filled == 0 and found(1) is None
 
 
 @pytest.mark.parametrize("seed", range(5))
