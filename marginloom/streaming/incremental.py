@@ -390,3 +390,27 @@ def dedupe_stream(stream: DataFrame, store: str, schema: str, key: str) -> None:
         _log(batch.sparkSession, store, "dedupe", written.agg(F.count("*").alias("last_row")), batch_id)
 
     _run(stream, load, f"{store}/_checkpoint")
+
+
+def dedupe_stream_horizon(stream: DataFrame, store: str, schema: str, key: str, time: str, horizon: str) -> int:
+    """Append stream rows whose key has not been seen within ``horizon`` of event time; returns the rows that came too late.
+
+    The keys of the horizon lie in the state store, so a load compares with them alone and
+    not with the ledger, and state is dropped as the watermark passes. A row older than the
+    newest by more than the horizon is late: it is counted and not stored. ``dedupe_stream``
+    has no such limit, at the price of reading the ledger's keys.
+    """
+    spark = stream.sparkSession
+    create_table(spark, f"{store}/rows", schema)
+    create_table(spark, f"{store}/sync_log", LOG)
+
+    def load(batch: DataFrame, batch_id: int) -> None:
+        write_batch(batch, f"{store}/rows", batch_id)
+        written = read_batch(batch.sparkSession, f"{store}/rows", schema, batch_id)
+        _log(batch.sparkSession, store, "dedupe", written.agg(F.count("*").alias("last_row")), batch_id)
+
+    first_seen = stream.withWatermark(time, horizon).dropDuplicatesWithinWatermark([key])
+    writer = first_seen.writeStream.foreachBatch(load).option("checkpointLocation", f"{store}/_checkpoint")
+    query = writer.trigger(availableNow=True).start()
+    query.awaitTermination()
+    return sum(int(state.numRowsDroppedByWatermark) for progress in query.recentProgress for state in progress.stateOperators)

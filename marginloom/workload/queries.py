@@ -640,3 +640,16 @@ def dedupe_stream(w):
         stream = w.spark.readStream.schema(schema).parquet(landed)
         incremental.dedupe_stream(stream, store, schema, "transaction_hash")
     return _money(incremental.committed(w.spark, store, "rows", schema).drop("batch_id"), "gross_cents")
+
+
+@query
+def dedupe_stream_horizon(w):
+    """The same loads with two years of keys in the state store; every repeated row lies within them."""
+    landed, store = shared_folder(w.spark, "landing"), shared_folder(w.spark, "horizon-store")
+    schema = "transaction_hash string, order_no string, gross_cents bigint, sold_at timestamp"
+    rows = w.sales.select("transaction_hash", "order_no", "gross_cents", F.col("sale_date").cast("timestamp").alias("sold_at"), "import_id")
+    for part in ("import_id < 199801", "import_id >= 199706"):
+        rows.filter(part).drop("import_id").write.mode("append").parquet(landed)
+        stream = w.spark.readStream.schema(schema).parquet(landed)
+        incremental.dedupe_stream_horizon(stream, store, schema, "transaction_hash", "sold_at", "730 days")
+    return _money(incremental.committed(w.spark, store, "rows", schema).drop("batch_id", "sold_at"), "gross_cents")

@@ -1,3 +1,5 @@
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -243,3 +245,18 @@ def test_audit_follows_a_load(spark, tmp_path, monkeypatch):
     inc.ingest_statements(spark, str(landing), store)
     assert states() == {"a.csv": ("COMPLETED", None, 1), "b.csv": ("COMPLETED", None, 1)}
     assert {r.file: r.import_id for r in inc.import_audit(spark, store).collect()} == before
+
+
+def test_dedupe_within_a_horizon(spark, tmp_path):
+    landing, store = str(tmp_path / "rows"), shared_folder(spark, "horizon")
+    schema = "id bigint, at timestamp"
+    late = []
+    for rows in ([(1, 1), (2, 20), (2, 20)], [(2, 21), (3, 22), (4, 1)], [(1, 23), (5, 40)]):
+        told = [(i, datetime.datetime(2026, 1, 1) + datetime.timedelta(days=day)) for i, day in rows]
+        spark.createDataFrame(told, schema).write.mode("append").parquet(landing)
+        stream = spark.readStream.schema(schema).parquet(landing)
+        late.append(inc.dedupe_stream_horizon(stream, store, schema, "id", "at", "10 days"))
+    rows = inc.committed(spark, store, "rows", schema).collect()
+    # 4 is older than the horizon; 1 is new again after it
+    assert sorted((r.id, (r["at"] - datetime.datetime(2026, 1, 1)).days) for r in rows) == [(1, 1), (1, 23), (2, 20), (3, 22), (5, 40)]
+    assert late == [0, 1, 0]
