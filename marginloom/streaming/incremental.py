@@ -8,6 +8,7 @@ store, which lies in a folder all executors share, and read back from there.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +20,7 @@ from marginloom.operators.activity import BILLING, INVENTORY, STATEMENT
 from marginloom.sources import billing, delimited, sheets, statements
 from marginloom.sources.files import digests_of, unseen_files
 from marginloom.sources.sinks import create_table, read_batch, read_batches, remove_batch, write_batch
+from marginloom.sources.versions import Versions, VersionTaken
 
 LOG = "source string, last_row bigint, synced_at timestamp"
 FILES = (
@@ -49,6 +51,8 @@ BILLING_ROWS = (
 LINKS = "order_no string, waybill string"
 SHARES = "order_no string, waybill string, allocated_cents bigint"
 MAPPINGS = "billing_batch bigint, new_links bigint, billed bigint, matched bigint, unmatched bigint, written boolean, synced_at timestamp"
+# Loads of the inventory log that one fold takes together.
+FOLDED_BATCHES = 8
 INVENTORY_CHANGES = "order_no string, material string, category string, color string, quantity_e4 bigint"
 
 
@@ -365,12 +369,41 @@ def sync_inventory(spark: SparkSession, landing: str, store: str) -> None:
 
     stream = spark.readStream.schema(sheets.SHEET_SCHEMA).parquet(landing)
     _run(stream, load, f"{store}/_checkpoint")
+    fold_inventory(spark, store)
 
 
 def current_inventory(spark: SparkSession, store: str) -> DataFrame:
-    """The inventory after all loads, from the change log."""
-    changes = committed(spark, store, "changes", INVENTORY_CHANGES)
-    return ledger.latest_per_key(changes, inventory.INVENTORY_KEY, "batch_id").drop("batch_id")
+    """The inventory after all loads: the folded base and the change batches after it; older ones are not read."""
+    _, base = Versions(spark, f"{store}/base").newest()
+    schema = f"{INVENTORY_CHANGES}, batch_id bigint"
+    newer = committed(spark, store, "changes", INVENTORY_CHANGES).filter(F.col("batch_id") > base.get("upto", -1))
+    rows = newer.select(*[f.split()[0] for f in schema.split(", ")])
+    if base:
+        folded = spark.read.schema(INVENTORY_CHANGES).parquet(f"{store}/base/{base['folder']}")
+        rows = rows.unionByName(folded.withColumn("batch_id", F.lit(base["upto"]).cast("bigint")))
+    return ledger.latest_per_key(rows, inventory.INVENTORY_KEY, "batch_id").drop("batch_id")
+
+
+def fold_inventory(spark: SparkSession, store: str, batches: int = FOLDED_BATCHES) -> bool:
+    """Fold the change log into a new base if ``batches`` loads have ended since the last one.
+
+    A read then takes the base and fewer than ``batches`` change batches, however many loads
+    there were. The base becomes current by its pointer; if another run folds at the same
+    time, the first to end counts.
+    """
+    versions = Versions(spark, f"{store}/base")
+    number, base = versions.newest()
+    newest = spark.read.parquet(f"{store}/sync_log").agg(F.max("batch_id")).first()[0]
+    if newest - base.get("upto", -1) < batches:
+        return False
+    folder = f"data-{uuid.uuid4().hex}"
+    # a load that ends meanwhile is newer than the base and is read beside it
+    current_inventory(spark, store).write.parquet(f"{store}/base/{folder}")
+    try:
+        versions.put(number + 1, {"folder": folder, "upto": newest})
+    except VersionTaken:
+        return False
+    return True
 
 
 def dedupe_stream(stream: DataFrame, store: str, schema: str, key: str) -> None:

@@ -260,3 +260,20 @@ def test_dedupe_within_a_horizon(spark, tmp_path):
     # 4 is older than the horizon; 1 is new again after it
     assert sorted((r.id, (r["at"] - datetime.datetime(2026, 1, 1)).days) for r in rows) == [(1, 1), (1, 23), (2, 20), (3, 22), (5, 40)]
     assert late == [0, 1, 0]
+
+
+def test_inventory_reads_stay_bounded(spark):
+    """However many loads there were, a read takes the base and fewer than a fold's batches."""
+    store, want = shared_folder(spark, "folded"), {}
+    for batch in range(11):
+        rows = [(str(batch), "Cotton", "Bag", "red", batch), ("same", "Cotton", "Bag", "red", 100 + batch)]
+        want |= {str(batch): batch, "same": 100 + batch}
+        inc.write_batch(spark.createDataFrame(rows, inc.INVENTORY_CHANGES), f"{store}/changes", batch)
+        inc.write_batch(spark.createDataFrame([("s", 1, datetime.datetime(2026, 1, 1))], inc.LOG), f"{store}/sync_log", batch)
+        assert inc.fold_inventory(spark, store, batches=4) == (batch % 4 == 3)
+        current = inc.current_inventory(spark, store)
+        assert {r.order_no: r.quantity_e4 for r in current.collect()} == want
+    # batches 0 to 7 are folded: what they wrote is not read any more
+    for batch in range(8):
+        spark.createDataFrame([("no",)], "x string").write.mode("overwrite").text(f"{store}/changes/batch_id={batch}")
+    assert {r.order_no: r.quantity_e4 for r in inc.current_inventory(spark, store).collect()} == want
