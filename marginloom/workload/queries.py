@@ -18,7 +18,7 @@ from marginloom.operators import (
     reports,
     shipping,
 )
-from marginloom.plans import financials
+from marginloom.plans import financials, search_lists
 from marginloom.session import shared_folder
 from marginloom.sources import billing, delimited, files, sheets, shipments, sinks, statements
 from marginloom.streaming import incremental, refresh
@@ -374,14 +374,26 @@ def eligible_orders(w):
     return pools.eligible_orders(sold, prior)
 
 
+@built_once
+def _search_lists(w):
+    path = shared_folder(w.spark, "search-lists")
+    search_lists.write_search_lists(w.ledgers, path)
+    return path
+
+
+def _search(w, text):
+    matching = search_lists.orders_in_lists(w.spark, _search_lists(w), text)
+    return reports.search_orders(w.ledgers, text, stored=_stored(w), matching=matching)
+
+
 @query
 def search_orders(w):
-    return reports.search_orders(w.ledgers, SEARCH, stored=_stored(w))
+    return _search(w, SEARCH)
 
 
 @query
 def search_orders_by_waybill(w):
-    return reports.search_orders(w.ledgers, WAYBILL_SEARCH, stored=_stored(w))
+    return _search(w, WAYBILL_SEARCH)
 
 
 # Allocation

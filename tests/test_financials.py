@@ -4,7 +4,7 @@ import random
 import pytest
 
 from marginloom.operators import activity, inventory, ledger, quality, reports
-from marginloom.plans import financials
+from marginloom.plans import financials, search_lists
 from marginloom.plans.financials import Ledgers
 from marginloom.session import shared_folder
 from marginloom.sources import sinks
@@ -137,6 +137,24 @@ def test_search_limit_is_a_prefix_of_all_matches(ledgers):
     assert [r.order_no for r in reports.search_orders(ledgers, "w1", limit=1).collect()] == sorted(every)[:1]
 
 
+def test_search_lists_find_what_the_ledgers_hold(spark, ledgers):
+    path = shared_folder(spark, "lists")
+    search_lists.write_search_lists(ledgers, path)
+    for q in ("w1", "#w1", "#a1", "awb-W2", "B%", "b%2", "a", "#", "AWB-", "B%23", "nothing", "1", "AWB-w"):
+        lists = search_lists.orders_in_lists(spark, path, q)
+        assert sorted(lists.collect()) == sorted(reports.matching_orders(ledgers, q).collect()), q
+    # a part of three characters or more reads one list
+    plan = search_lists.orders_in_lists(spark, path, "#B%2")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(folder" in plan and "EqualTo(gram," in plan
+
+
+def test_search_lists_of_empty_ledgers(spark, ledgers):
+    path = shared_folder(spark, "lists")
+    none = ledgers.only_orders(ledgers.sales.select("order_no").limit(0))
+    search_lists.write_search_lists(none, path)
+    assert search_lists.orders_in_lists(spark, path, "w1").collect() == []
+
+
 def test_order_detail(ledgers):
     fin = financials.order_financials(ledgers, with_waybills=False)
     row = reports.order_breakdown(fin, "A1").first()
