@@ -55,6 +55,28 @@ def match_counts(costs: DataFrame, links: DataFrame) -> DataFrame:
     return counts.withColumn("may_write", (F.col("billed") == 0) | (F.col("matched") > 0))
 
 
+def match_changes(billing: DataFrame, billed_before: Column, links: DataFrame, linked_before: Column) -> DataFrame:
+    """How the counts of billed and matched waybills have moved, from all bills and links of the waybills that changed.
+
+    The conditions tell which bills and links were counted before.
+    """
+    no = F.lit(False)
+
+    def marks(rows: DataFrame, kind: str, before: Column) -> DataFrame:
+        other = "linked" if kind == "billed" else "billed"
+        states = [F.lit(True).alias(kind), before.alias(f"was_{kind}"), no.alias(other), no.alias(f"was_{other}")]
+        return rows.filter(_has_waybill()).select("waybill", *states)
+
+    rows = marks(billing, "billed", billed_before).unionByName(marks(links, "linked", linked_before))
+    states = ("billed", "was_billed", "linked", "was_linked")
+    flags = rows.groupBy("waybill").agg(*[F.bool_or(c).alias(c) for c in states])
+    was_matched = F.col("was_billed") & F.col("was_linked")
+    return flags.agg(
+        (F.count_if(F.col("billed")) - F.count_if(F.col("was_billed"))).alias("billed"),
+        (F.count_if(F.col("billed") & F.col("linked")) - F.count_if(was_matched)).alias("matched"),
+    )
+
+
 def _split(costs: DataFrame, links: DataFrame) -> DataFrame:
     """Every link with its waybill's cost, order count and highest order."""
     pairs = links.filter(_has_waybill()).select("order_no", "waybill")

@@ -21,6 +21,7 @@ from marginloom.sources import billing, delimited, sheets, statements
 from marginloom.sources.files import digests_of, unseen_files
 from marginloom.sources.sinks import create_table, read_batch, read_batches, remove_batch, write_batch
 from marginloom.sources.versions import Versions, VersionTaken
+from marginloom.streaming.keys import create_index, index_batch, rows_holding
 
 LOG = "source string, last_row bigint, synced_at timestamp"
 FILES = (
@@ -75,6 +76,12 @@ def committed(spark: SparkSession, store: str, table: str, schema: str, log: str
     return read_batches(spark, f"{store}/{table}", schema).join(logged, "batch_id", "left_semi")
 
 
+def logged_batches(spark: SparkSession, store: str, log: str = "sync_log", before: int | None = None) -> DataFrame:
+    """The ids of all logged batches, or of those before one."""
+    entries = spark.read.parquet(f"{store}/{log}").select("batch_id").filter("batch_id >= 0").distinct()
+    return entries if before is None else entries.filter(F.col("batch_id") < before)
+
+
 def sync_log(spark: SparkSession, *stores: str) -> DataFrame:
     logs = [read_batches(spark, f"{store}/sync_log", LOG).drop("batch_id") for store in stores]
     union = logs[0]
@@ -142,6 +149,7 @@ def ingest_statements(
     }
     for name, schema in tables.items():
         create_table(spark, f"{store}/{name}", schema)
+    create_index(spark, f"{store}/transactions")
 
     def load(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
@@ -168,9 +176,10 @@ def ingest_statements(
         staged = read_batch(session, f"{store}/staged", TRANSACTIONS, batch_id)
 
         attempt.at("append")
-        new = _unknown(staged, read_batches(session, f"{store}/transactions", TRANSACTIONS, before=batch_id))
+        new = _unknown(staged, f"{store}/transactions", logged_batches(session, store, before=batch_id))
         write_batch(new, f"{store}/transactions", batch_id)
         new = read_batch(session, f"{store}/transactions", TRANSACTIONS, batch_id)
+        index_batch(new, f"{store}/transactions", "transaction_hash", batch_id)
 
         attempt.at("allocate")
         store_rows = ledger.expenses_of(new.filter(F.col("scope") == "ETSY"))
@@ -262,15 +271,17 @@ def _audit(files: DataFrame, counts: DataFrame, import_id: Callable[[Column], Co
     return rows.drop("file_rows")
 
 
-def _unknown(staged: DataFrame, known: DataFrame) -> DataFrame:
-    """Staged rows the ledger lacks, each owned by one import.
+def _unknown(staged: DataFrame, path: str, batches: DataFrame) -> DataFrame:
+    """Staged rows the ledger at ``path`` lacks, each owned by one import.
 
-    Equal hashes imply equal dates, so only ledger rows in the batch's date range are compared;
-    the range is one row and prunes by the file statistics of the ledger.
+    Of the ledger's ``batches`` only those that may hold a staged hash are opened. Equal hashes
+    imply equal dates, so of these only rows in the staged date range are compared; the range is
+    one row and prunes by file statistics.
     """
     wanted = staged.filter(ledger.is_sale() | (F.col("category") != "SALE"))
     span = wanted.agg(F.min("transaction_date"), F.max("transaction_date")).first()
     date = F.col("transaction_date")
+    known = rows_holding(wanted, path, TRANSACTIONS, "transaction_hash", batches)
     near = known.filter(date.between(F.lit(span[0]).cast("date"), F.lit(span[1]).cast("date")) | date.isNull())
     return ledger.first_import(wanted).join(near.select("transaction_hash"), "transaction_hash", "left_anti")
 
@@ -280,6 +291,7 @@ def ingest_billing(spark: SparkSession, landing: str, store: str) -> None:
     tables = {"files": FILES, "new_files": NEW_FILES, "staged": BILLING_ROWS, "billing": BILLING_ROWS, "sync_log": LOG}
     for name, schema in tables.items():
         create_table(spark, f"{store}/{name}", schema)
+    create_index(spark, f"{store}/billing")
 
     def load(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
@@ -299,8 +311,10 @@ def ingest_billing(spark: SparkSession, landing: str, store: str) -> None:
         write_batch(checked, f"{store}/files", batch_id)
         files = read_batch(session, f"{store}/files", FILES, batch_id).filter(F.col("status") == "COMPLETED")
         write_batch(staged.join(files, "file", "left_semi"), f"{store}/billing", batch_id)
-        billed = read_batches(session, f"{store}/billing", BILLING_ROWS, before=batch_id + 1)
-        _log(session, store, BILLING, billed.agg(F.count("*").alias("last_row")), batch_id)
+        billed = read_batch(session, f"{store}/billing", BILLING_ROWS, batch_id)
+        index_batch(billed, f"{store}/billing", "waybill", batch_id)
+        earlier = read_batches(session, f"{store}/sync_log", LOG, before=batch_id).agg(F.max("last_row")).first()[0] or 0
+        _log(session, store, BILLING, billed.agg((F.count("*") + F.lit(earlier)).alias("last_row")), batch_id)
         remove_batch(session, f"{store}/lines", batch_id)
 
     lines = delimited.stream_lines(spark.readStream, landing)
@@ -311,40 +325,58 @@ def sync_mappings(spark: SparkSession, store: str, links: DataFrame) -> DataFram
     """Append the links the store lacks and allocate the waybills that changed; returns the step's log row.
 
     A waybill has changed if it was billed in a load since the last step or has a new link.
-    If there are bills and none of all billed waybills has a link, nothing is allocated, and
-    the bills wait for the next step. The log entry comes last: a step that fails is
-    repeated under the same number and overwrites its own folders.
+    Only batches of bills and links that may hold a changed waybill are opened, and the counts
+    of the last step are moved by what these waybills have become. If there are bills and none
+    of all billed waybills has a link, nothing is allocated, and the bills wait for the next
+    step. The log entry comes last: a step that fails is repeated under the same number and
+    overwrites its own folders.
     """
-    for name, schema in {"links": LINKS, "shares": SHARES, "mapping_log": MAPPINGS}.items():
+    for name, schema in {"offered": LINKS, "links": LINKS, "touched": "waybill string", "shares": SHARES, "mapping_log": MAPPINGS}.items():
         create_table(spark, f"{store}/{name}", schema)
+    for name in ("links", "shares"):
+        create_index(spark, f"{store}/{name}")
+    counted = F.struct("batch_id", "billing_batch", "billed", "matched")
     log = read_batches(spark, f"{store}/mapping_log", MAPPINGS)
-    done = log.agg(F.max("batch_id").alias("step"), F.max(F.when(F.col("written"), F.col("billing_batch"))).alias("billing")).first()
-    step = 0 if done.step is None else done.step + 1
+    done = log.agg(F.max(counted).alias("last"), F.max(F.when(F.col("written"), F.col("billing_batch"))).alias("billing")).first()
+    step, seen, billed, matched = (0, -1, 0, 0) if done.last is None else (done.last.batch_id + 1, *done.last[1:])
     since = -1 if done.billing is None else done.billing
+    loads, steps = logged_batches(spark, store), logged_batches(spark, store, "mapping_log", step)
 
-    known = committed(spark, store, "links", LINKS, "mapping_log")
     offered = links.select("order_no", "waybill").filter("order_no <> '' and waybill <> ''")
+    write_batch(offered.distinct(), f"{store}/offered", step)
+    offered = read_batch(spark, f"{store}/offered", LINKS, step)
+    known = rows_holding(offered, f"{store}/links", LINKS, "waybill", steps)
     write_batch(ledger.new_rows(known, offered, ["order_no", "waybill"]), f"{store}/links", step)
     new = read_batch(spark, f"{store}/links", LINKS, step)
-    every = known.select("order_no", "waybill").unionByName(new)
-
-    billed = committed(spark, store, "billing", BILLING_ROWS)
-    costs = shipping.waybill_cost(billed)
-    counts = shipping.match_counts(costs, every).first()
-    if counts.may_write:
-        # links of a step that could not write were never allocated; their bills are newer than `since`
-        touched = billed.filter(F.col("batch_id") > since).select("waybill").unionByName(new.select("waybill")).distinct()
-        own = shipping.allocate_shipping(costs.join(touched, "waybill", "left_semi"), every.join(touched, "waybill", "left_semi"))
+    index_batch(new, f"{store}/links", "waybill", step)
+
+    # links of a step that could not write were never allocated; their bills are newer than `since`
+    recent = committed(spark, store, "billing", BILLING_ROWS).filter(F.col("batch_id") > since).select("waybill")
+    write_batch(recent.unionByName(new.select("waybill")).filter("waybill <> ''").distinct(), f"{store}/touched", step)
+    touched = read_batch(spark, f"{store}/touched", "waybill string", step)
+    with_this = steps.unionByName(spark.range(step, step + 1).toDF("batch_id"))
+    bills = rows_holding(touched, f"{store}/billing", BILLING_ROWS, "waybill", loads).join(touched, "waybill", "left_semi")
+    linked = rows_holding(touched, f"{store}/links", LINKS, "waybill", with_this).join(touched, "waybill", "left_semi")
+
+    moved = shipping.match_changes(bills, F.col("batch_id") <= seen, linked, F.col("batch_id") < step).first()
+    billed, matched = billed + moved.billed, matched + moved.matched
+    may_write = billed == 0 or matched > 0
+    if may_write:
+        own = shipping.allocate_shipping(shipping.waybill_cost(bills), linked.drop("batch_id"))
         write_batch(own, f"{store}/shares", step)
-    last = billed.agg(F.max("batch_id")).first()[0]
+        index_batch(read_batch(spark, f"{store}/shares", SHARES, step), f"{store}/shares", "waybill", step)
+    newest = loads.agg(F.max("batch_id")).first()[0]
+    numbers = {"billed": billed, "matched": matched, "unmatched": billed - matched}
     entry = new.agg(F.count("*").alias("new_links")).select(
-        F.lit(-1 if last is None else last).cast("bigint").alias("billing_batch"),
+        F.lit(-1 if newest is None else newest).cast("bigint").alias("billing_batch"),
         "new_links",
-        *[F.lit(counts[c]).cast("bigint").alias(c) for c in ("billed", "matched", "unmatched")],
-        F.lit(bool(counts.may_write)).alias("written"),
+        *[F.lit(n).cast("bigint").alias(c) for c, n in numbers.items()],
+        F.lit(may_write).alias("written"),
         F.current_timestamp().alias("synced_at"),
     )
     write_batch(entry, f"{store}/mapping_log", step)
+    for scratch in ("offered", "touched"):
+        remove_batch(spark, f"{store}/{scratch}", step)
     return read_batch(spark, f"{store}/mapping_log", MAPPINGS, step)
 
 
@@ -410,17 +442,25 @@ def dedupe_stream(stream: DataFrame, store: str, schema: str, key: str) -> None:
     """Append stream rows whose key no earlier load has stored.
 
     The comparison with the ledger is exact and keeps no state, so there is no horizon
-    after which a repeated row would slip through.
+    after which a repeated row would slip through. Only earlier loads that may hold one of the
+    keys are opened (``streaming.keys``).
     """
     spark = stream.sparkSession
-    create_table(spark, f"{store}/rows", schema)
+    for name in ("staged", "rows"):
+        create_table(spark, f"{store}/{name}", schema)
+    create_index(spark, f"{store}/rows")
     create_table(spark, f"{store}/sync_log", LOG)
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        known = read_batches(batch.sparkSession, f"{store}/rows", schema, before=batch_id)
-        write_batch(ledger.new_rows(known, batch, [key]), f"{store}/rows", batch_id)
-        written = read_batch(batch.sparkSession, f"{store}/rows", schema, batch_id)
-        _log(batch.sparkSession, store, "dedupe", written.agg(F.count("*").alias("last_row")), batch_id)
+        session = batch.sparkSession
+        write_batch(batch.dropDuplicates([key]), f"{store}/staged", batch_id)
+        staged = read_batch(session, f"{store}/staged", schema, batch_id)
+        known = rows_holding(staged, f"{store}/rows", schema, key, logged_batches(session, store, before=batch_id))
+        write_batch(ledger.new_rows(known, staged, [key]), f"{store}/rows", batch_id)
+        written = read_batch(session, f"{store}/rows", schema, batch_id)
+        index_batch(written, f"{store}/rows", key, batch_id)
+        _log(session, store, "dedupe", written.agg(F.count("*").alias("last_row")), batch_id)
+        remove_batch(session, f"{store}/staged", batch_id)
 
     _run(stream, load, f"{store}/_checkpoint")
 

@@ -3,10 +3,11 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from marginloom.operators import activity
+from marginloom.operators import activity, shipping
 from marginloom.session import shared_folder
 from marginloom.sources import sheets
 from marginloom.streaming import incremental as inc
+from marginloom.streaming import keys
 
 HEADER = "Date,Type,Title,Info,Currency,Amount,Fees & Taxes,Net,Tax Details\n"
 
@@ -277,3 +278,75 @@ def test_inventory_reads_stay_bounded(spark):
     for batch in range(8):
         spark.createDataFrame([("no",)], "x string").write.mode("overwrite").text(f"{store}/changes/batch_id={batch}")
     assert {r.order_no: r.quantity_e4 for r in inc.current_inventory(spark, store).collect()} == want
+
+
+def opened_batches(monkeypatch):
+    """Records, by table, the earlier batches that the loads open."""
+    seen = {}
+    plain = keys.rows_of_batches
+
+    def watched(spark, path, schema, batches):
+        seen.setdefault(path.rsplit("/", 1)[-1], []).append(batches)
+        return plain(spark, path, schema, batches)
+
+    monkeypatch.setattr(keys, "rows_of_batches", watched)
+    return seen
+
+
+def test_dedupe_opens_only_loads_that_may_hold_its_keys(spark, tmp_path, monkeypatch):
+    landing, store = str(tmp_path / "rows"), shared_folder(spark, "dedupe")
+    seen = opened_batches(monkeypatch)
+    loads = [["a1", "m5", "z9"], ["b1", "n5", "y9"], ["c1", "o5", "x9"], ["d1", "n5", "w9", "w9"], ["zz"], [None, "c1"], [None]]
+    for load in loads:
+        spark.createDataFrame([(k,) for k in load], "k string").write.mode("append").parquet(landing)
+        inc.dedupe_stream(spark.readStream.schema("k string").parquet(landing), store, "k string", "k")
+    # the fourth load repeats a key of the second, the sixth one of the third; all other loads open nothing
+    assert seen["rows"] == [[], [], [], [1], [], [2], []]
+    rows = [r.k for r in inc.committed(spark, store, "rows", "k string").collect()]
+    assert sorted(k for k in rows if k) == sorted({k for load in loads for k in load if k}) and rows.count(None) == 2
+
+
+def test_batches_without_an_index_are_opened(spark, frame):
+    path = shared_folder(spark, "old") + "/rows"
+    keys.create_index(spark, path)
+    for batch, key in enumerate("abc"):
+        rows = frame([(key,)], "k string")
+        inc.write_batch(rows, path, batch)
+        if batch:
+            keys.index_batch(rows, path, "k", batch)
+    batches = spark.range(3).toDF("batch_id")
+    assert keys.batches_holding(frame([("c",), ("x",)], "k string"), path, "k", batches) == [0, 2]
+    assert keys.batches_holding(frame([], "k string"), path, "k", batches) == [0]
+
+
+def test_statement_load_opens_only_loads_that_may_hold_its_rows(statements, monkeypatch):
+    landing, load = statements
+    seen = opened_batches(monkeypatch)
+    for name, body in {"a": sale("4105054431", "1"), "b": sale("4105054432", "2"), "c": sale("4105054433", "3") + sale("4105054432", "2")}.items():
+        put(landing, f"{name}.csv", body)
+        got = load()
+    assert seen["transactions"] == [[], [], [1]]
+    assert sorted(r.order_no for r in got["transactions"]) == ["4105054431", "4105054432", "4105054433"]
+
+
+def test_mapping_counts_follow_the_changed_waybills(spark, tmp_path, frame, monkeypatch):
+    """Counts are moved by the changed waybills, and only loads that billed one of them are opened."""
+    landing, store = tmp_path / "billing", shared_folder(spark, "billing")
+    landing.mkdir()
+    head = "Invoice Type,Invoice Date,Due Date,AWB,Total Amount\n"
+    steps = [  # bills, links, (billed, matched, written), opened loads
+        (["100", "101", "100"], [("o1", "999")], (2, 0, False), [0]),
+        (["200"], [("o1", "100"), ("o2", "100"), ("o1", "999")], (3, 1, True), [0, 1]),
+        ([], [("o4", "101"), ("o4", "101")], (3, 2, True), [0]),
+        (["300", "999"], [], (5, 3, True), [2]),
+    ]
+    seen = opened_batches(monkeypatch)
+    for i, (bills, links, counts, opened) in enumerate(steps):
+        if bills:
+            (landing / f"{i}.csv").write_text(head + "".join(f"Duty,01-Apr-26,,{w},1.0{i}\n" for w in bills))
+            inc.ingest_billing(spark, str(landing), store)
+        row = inc.sync_mappings(spark, store, frame(links, "order_no string, waybill string")).first()
+        assert (row.billed, row.matched, row.written, row.unmatched) == (*counts, counts[0] - counts[1])
+        assert seen["billing"][-1] == opened
+    shares = {tuple(r) for r in inc.current_allocations(spark, store).collect()}
+    assert shares == {("o1", "100", 100), ("o2", "100", 100), ("o4", "101", 100), ("o1", "999", 103)}
