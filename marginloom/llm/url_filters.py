@@ -25,7 +25,7 @@ from marginloom.llm.common import salted_left_join, stored
 RULES = [
     ("allow", "org", "/"),
     ("block", "example.org", "/es/"),
-    ("allow", "example.org", "/en/1"),
+    ("block", "example.org", "/en/1"),
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 ]
