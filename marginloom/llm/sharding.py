@@ -73,7 +73,8 @@ def shuffled(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_byt
         .groupBy("shard", "bucket")
         .agg(F.collect_list(record).alias("records"))
     )
-    placed = gathered.join(offsets, ["shard", "bucket"]).select(
+    # One record a bucket; unless it is sent to the tasks, a join on large tables shuffles all records once more.
+    placed = gathered.join(F.broadcast(offsets), ["shard", "bucket"]).select(
         "shard", "bucket", "offset", F.posexplode(F.shuffle("records", seed)).alias("place", "record")
     )
     return placed.select(

@@ -46,3 +46,14 @@ def test_columns_and_files(spark, odd, tmp_path):
     sharding.write_shards(out, str(tmp_path / "shards"))
     assert spark.read.parquet(str(tmp_path / "shards")).count() == odd.count()
     assert sharding.shard_table(odd.limit(0)).count() == 0
+
+
+def test_records_are_shuffled_once(spark, odd):
+    # the size of the table must not decide: by Spark's estimate the offsets are too large for a broadcast
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    try:
+        plan = sharding.shuffled(odd)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "SortMergeJoin" not in plan and "hashpartitioning(shard" not in plan.split("collect_list")[0]
