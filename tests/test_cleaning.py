@@ -164,6 +164,23 @@ def test_occurrences_of_a_hot_group(frame):
     assert len({r.transaction_hash for r in got}) == 500 + 900
 
 
+def test_counted_rows_are_shuffled_once(frame):
+    """Only groups with too many copies are dealt out again; none here, so that shuffle stays empty."""
+    df = frame([("a", f"{i % 40:064x}") for i in range(100)], "import_id string, fingerprint string")
+    got = cleaning.number_occurrences(cleaning.packed(df), finish=cleaning.unpacked)
+    assert Counter((r.fingerprint, r.occurrence_no) for r in got.collect()) == Counter((f"{i % 40:064x}", i // 40 + 1) for i in range(100))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    above_dealing = plan.split("RepartitionByExpression")
+    assert len(above_dealing) == 2 and "Union" in above_dealing[0] and "copies" in above_dealing[1].split("Aggregate")[0]
+
+
+def test_columns_that_follow_may_be_added_after_the_count(frame):
+    df = frame([("a", "x"), ("a", "x"), ("a", "y"), ("b", None)], "import_id string, title string")
+    whole = cleaning.number_occurrences(cleaning.fingerprint(df, ("title",)))
+    later = cleaning.number_occurrences(df, finish=lambda rows: cleaning.fingerprint(rows, ("title",)))
+    assert Counter(whole.collect()) == Counter(later.select(*whole.columns).collect()) and later.count() == 4
+
+
 @settings(max_examples=15, deadline=None)
 @given(st.lists(st.integers(-(10**9), 10**9), min_size=1, max_size=30))
 def test_currency_text_round_trip(spark, amounts):
