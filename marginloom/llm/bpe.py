@@ -15,6 +15,7 @@ worker and remembered: the vocabulary's normaliser and splitter never look acros
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -35,7 +36,11 @@ AGREEING_TOKENS = 4
 
 # Words remembered per worker; the memory is emptied when it is full.
 REMEMBERED = 400_000
-MISSES_AT_ONCE = 4096
+MISSES_AT_ONCE = 2048
+# Stands between words that are encoded together; words that hold it are encoded by themselves.
+BORDER = "~"
+# Letters, then signs but the apostrophe: the splitter cuts such a word between the two only, and only the letters have a case.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 @dataclass
@@ -104,6 +109,14 @@ def join_all(text: str, parts: list[Part], name: str) -> Part:
     return parts[0]
 
 
+def _marked(texts: list[bytes], at: list[int], keep: bool = False) -> list[bytes]:
+    """The texts with a line end in place of some, or after them."""
+    marked = list(texts)
+    for i in at:
+        marked[i] = texts[i] + b"\n" if keep else b"\n"
+    return marked
+
+
 class _Memory:
     """The ids and tokens of words, as written text."""
 
@@ -111,33 +124,64 @@ class _Memory:
         self.tokenizer = tokenizer(name)
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.tokens = [(self.tokenizer.id_to_token(i) or "").encode() for i in range(size)]
-        added = self.tokenizer.get_added_tokens_decoder()
-        # A special token never joins its neighbours, so it can stand between words encoded together.
-        self.border, self.border_text = next((i, t.content) for i, t in added.items() if t.special)
+        ids = [b"%d" % i for i in range(size)]
+        self.after_border = [_marked(t, self._border()) for t in (ids, self.tokens)]
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        ends = [i for i, t in enumerate(self.tokens) if suffix and t.endswith(suffix.encode())]
+        self.after_ends = [_marked(t, ends, keep=True) for t in (ids, self.tokens)]
         self.ids: dict[bytes, bytes] = {}
         self.decoded: dict[bytes, bytes] = {}
         self.silent: set[bytes] = set()  # words without tokens
 
-    def _put(self, word: bytes, ids: list[int]) -> None:
-        self.ids[word] = b" ".join([b"%d" % i for i in ids])
-        self.decoded[word] = b" ".join([self.tokens[i] for i in ids])
-        if not ids:
-            self.silent.add(word)
+    def _border(self) -> list[int]:
+        own = self.tokenizer.encode(BORDER, add_special_tokens=False).ids
+        return own if len(own) == 1 else []
+
+    def _written(self, text: str, tables: list[list[bytes]]) -> list[list[bytes]]:
+        """Ids and tokens of a text, cut at the marks of the tables."""
+        ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        return [list(map(bytes.strip, b" ".join(map(t.__getitem__, ids)).split(b"\n"))) for t in tables]
+
+    def _put(self, words: list[bytes], ids: list[bytes], decoded: list[bytes]) -> None:
+        self.ids.update(zip(words, ids, strict=True))
+        self.decoded.update(zip(words, decoded, strict=True))
+        self.silent.update([w for w in words if not self.ids[w]])
+
+    def _learn_plain(self, words: list[bytes]) -> list[bytes]:
+        """Learn words of letters and signs after them from these two runs; returns the words that are not of that kind.
+
+        The splitter cuts neither run, so each ends with its first token that ends a word.
+        """
+        matches = [PLAIN.fullmatch(w.decode("utf-8", "replace")) for w in words]
+        cut = [(w, m[1].lower(), m[2]) for w, m in zip(words, matches, strict=True) if m]
+        runs = list({stem for _, stem, _ in cut}.union([signs for _, _, signs in cut if signs]))
+        pieces = self._written(" ".join(runs), self.after_ends)
+        if not cut or len(pieces[0]) != len(runs) + 1:
+            return words
+        written = [dict(zip(runs, own, strict=False)) for own in pieces]
+        self._put([w for w, _, _ in cut], *[[t[stem] + b" " + t[signs] if signs else t[stem] for _, stem, signs in cut] for t in written])
+        return [w for w, m in zip(words, matches, strict=True) if not m]
 
     def learn(self, words: set[bytes]) -> None:
         if len(self.ids) > REMEMBERED:
             self.ids, self.decoded, self.silent = {}, {}, set()
-        missing = [w for w in words if w not in self.ids]
-        plain = [w for w in missing if b"<|" not in w]
-        for word in set(missing) - set(plain):
-            self._put(word, self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids)
-        for at in range(0, len(plain), MISSES_AT_ONCE):
-            held = plain[at : at + MISSES_AT_ONCE]
-            joined = self.border_text.join([w.decode("utf-8", "replace") for w in held])
-            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int64)
-            borders = np.flatnonzero(ids == self.border)
-            for word, own in zip(held, np.split(ids, borders), strict=True):
-                self._put(word, own[own != self.border].tolist())
+        missing = sorted([w for w in words if w not in self.ids])  # in order, as words with the same letters share their ids
+        for at in range(0, len(missing), MISSES_AT_ONCE):
+            self._learn_others(self._learn_plain(missing[at : at + MISSES_AT_ONCE]))
+
+    def _learn_others(self, words: list[bytes]) -> None:
+        mark = BORDER.encode()
+        alone = [w for w in words if b"<|" in w or mark in w]
+        held = [w for w in words if b"<|" not in w and mark not in w]
+        if held:
+            ids, decoded = self._written(f" {BORDER} ".join([w.decode("utf-8", "replace") for w in held]), self.after_border)
+            if len(ids) == len(held):
+                self._put(held, ids, decoded)
+            else:
+                alone += held
+        for word in alone:
+            own = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
+            self._put([word], [b" ".join([b"%d" % i for i in own])], [b" ".join([self.tokens[i] for i in own])])
 
     def texts(self, words: list[bytes]) -> tuple[bytes, bytes]:
         if self.silent and not self.silent.isdisjoint(words):

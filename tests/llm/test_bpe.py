@@ -52,3 +52,38 @@ def test_ids(odd, pairs):
     want = {i: tokenizer(NAME).encode(t or "", add_special_tokens=False).ids for i, t in pairs(odd)}
     assert {r.doc_id: r.ids for r in rows} == want
     assert bpe.encode(odd.limit(0)).count() == bpe.round_trip(odd.limit(0)).count() == 0
+
+
+class Counting:
+    """A tokenizer that counts the characters given to it."""
+
+    def __init__(self, name):
+        self.own, self.chars = tokenizer(name), 0
+
+    def __getattr__(self, name):
+        return getattr(self.own, name)
+
+    def encode(self, text, **options):
+        self.chars += len(text)
+        return self.own.encode(text, **options)
+
+    def encode_batch_fast(self, texts, **options):
+        self.chars += sum(map(len, texts))
+        return self.own.encode_batch_fast(texts, **options)
+
+
+ODD_WORDS = ["~", "a~b", "don~", "it's", "Don't,", "É!", "ß?", "ªb", "µm", "x_y", "__", "a'", "İx", "é.", "a.b", "<|", "x<|", "a<|>", "̈a", "a̸", "Å", "÷", "a\x7f", "日本,", "Ж.", "1a!", "a1"]
+
+
+def test_words_of_equal_letters_are_encoded_once():
+    stems = ["".join(random.Random(i).choices("abcdefghijklmnopqrstuvwxyzéß", k=12)) for i in range(200)]
+    words = [form + signs for stem in stems for form in (stem, stem.title()) for signs in ("", ",", ".", "!?", "###")] + ODD_WORDS
+    memory = bpe._Memory(NAME)
+    memory.tokenizer = Counting(NAME)
+    memory.learn({w.encode() for w in words})
+    assert memory.tokenizer.chars < sum(map(len, words)) / 4
+    for word in words:
+        want = tokenizer(NAME).encode(word, add_special_tokens=False).ids
+        ids, decoded = memory.texts([word.encode()])
+        assert ids.decode() == " ".join(map(str, want))
+        assert decoded.decode() == tokenizer(NAME).decode(want, skip_special_tokens=False)
