@@ -3,9 +3,10 @@
 Every position of a text gives its three characters from there on (past the end: a filler), and
 the list of these characters holds the text. A search takes the part's rarest three characters,
 reads that one list, and checks the whole part against the texts in it; so hits are exact, and
-nothing but the list is read. Lists lie in folders by their first two characters, which
-serves parts of two characters as well; shorter ones read all folders. A list with very many
-texts is cut over several files by Spark's rebalancing.
+nothing is read but the list and the owners, the orders that each text leads to. Lists lie in
+folders by their first two characters, which serves parts of two characters as well; shorter
+ones read all folders. The texts are shuffled, their parts are not: every task writes the lists
+of its own texts, so a long list lies in many files.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ from pyspark.sql import functions as F
 from marginloom.operators.reports import search_sides
 from marginloom.plans.financials import Ledgers, has_order
 
-LISTS = "kind string, gram string, value string, order_no string, folder int"
+LISTS = "kind string, gram string, value string, folder int"
+OWNERS = "kind string, value string, order_no string"
 COUNTS = "kind string, gram string, texts bigint"
 WIDTH = 3
 FOLDERS = 64
@@ -29,13 +31,17 @@ def _folder(gram: Column) -> Column:
     return F.pmod(F.xxhash64(F.substring(gram, 1, WIDTH - 1)), F.lit(FOLDERS)).cast("int")
 
 
-def _listed(rows: DataFrame, kind: str, text: str) -> DataFrame:
-    """One row for each text and each of its three-character parts; ``value`` is the text in lower case."""
-    rows = rows.filter(F.col(text).isNotNull()).select(F.lit(kind).alias("kind"), F.lower(text).alias("value"), "order_no")
+def _owned(rows: DataFrame, kind: str, text: str) -> DataFrame:
+    """The texts and the orders they lead to; ``value`` is the text in lower case."""
+    return rows.filter(F.col(text).isNotNull()).select(F.lit(kind).alias("kind"), F.lower(text).alias("value"), "order_no")
+
+
+def _listed(values: DataFrame) -> DataFrame:
+    """One row for each text and each of its three-character parts."""
     padded = F.concat(F.col("value"), F.lit(FILLER * (WIDTH - 1)))
     starts = F.sequence(F.lit(1), F.greatest(F.length("value"), F.lit(1)))
     parts = F.array_distinct(F.transform(starts, lambda i: padded.substr(i, F.lit(WIDTH))))
-    return rows.select("kind", F.explode(parts).alias("gram"), "value", "order_no")
+    return values.select("kind", F.explode(parts).alias("gram"), "value")
 
 
 def write_search_lists(t: Ledgers, path: str) -> None:
@@ -45,10 +51,12 @@ def write_search_lists(t: Ledgers, path: str) -> None:
     """
     orders = t.sales.select("order_no").unionByName(t.expenses.filter(has_order()).select("order_no")).distinct()
     links = t.order_shipments.select("order_no", "waybill").distinct().join(orders, "order_no", "left_semi")
-    rows = _listed(orders, "order", "order_no").unionByName(_listed(links, "waybill", "waybill"))
-    rows = rows.withColumn("folder", _folder(F.col("gram"))).hint("rebalance", "folder")
+    spark = t.sales.sparkSession
+    _owned(orders, "order", "order_no").unionByName(_owned(links, "waybill", "waybill")).write.parquet(f"{path}/owners")
+    values = spark.read.schema(OWNERS).parquet(f"{path}/owners").select("kind", "value").distinct()
+    rows = _listed(values).withColumn("folder", _folder(F.col("gram")))
     rows.sortWithinPartitions("folder", "kind", "gram").write.partitionBy("folder").parquet(f"{path}/lists")
-    written = t.sales.sparkSession.read.schema(LISTS).parquet(f"{path}/lists")
+    written = spark.read.schema(LISTS).parquet(f"{path}/lists")
     written.groupBy("kind", "gram").agg(F.count("*").alias("texts")).sort("kind", "gram").write.parquet(f"{path}/counts")
 
 
@@ -64,7 +72,9 @@ def _hits(spark: SparkSession, path: str, kind: str, part: str) -> DataFrame:
         lists = lists.filter((F.col("folder") == _folder(F.lit(rarest))) & (F.col("gram") == rarest)) if rarest else lists.filter(F.lit(False))
     elif len(part) == WIDTH - 1:
         lists = lists.filter((F.col("folder") == _folder(F.lit(part))) & F.startswith("gram", F.lit(part)))
-    return lists.filter(F.contains("value", F.lit(part))).select("order_no")
+    hits = lists.filter(F.contains("value", F.lit(part))).select("value")
+    owners = spark.read.schema(OWNERS).parquet(f"{path}/owners").filter(F.col("kind") == kind)
+    return owners.join(hits, "value", "left_semi").select("order_no")
 
 
 def orders_in_lists(spark: SparkSession, path: str, query: str) -> DataFrame:

@@ -148,6 +148,19 @@ def test_search_lists_find_what_the_ledgers_hold(spark, ledgers):
     assert "PartitionFilters: [isnotnull(folder" in plan and "EqualTo(gram," in plan
 
 
+def test_search_lists_hold_a_shared_waybill_once(spark, frame, ledgers):
+    orders = [f"N{i}" for i in range(30)]
+    sales = frame([(o, o, D(2026, 6, 3), 100) for o in orders], "transaction_hash string, order_no string, sale_date date, gross_cents bigint")
+    links = frame([(o, w) for o in orders for w in ("Q77", "q77")] + [("N1", "Q78"), ("gone", "Q77")], "order_no string, waybill string")
+    t = Ledgers(sales, ledgers.expenses.limit(0), ledgers.inventory, links, ledgers.shipping_allocations, ledgers.pool_allocations)
+    path = shared_folder(spark, "lists")
+    search_lists.write_search_lists(t, path)
+    lists = spark.read.parquet(f"{path}/lists").filter("kind = 'waybill'")
+    assert sorted(r.value for r in lists.filter("gram = 'q77'").select("value").collect()) == ["q77"]
+    for q, found in {"AWB-Q77": orders, "awb-q78": ["N1"], "78": ["N1"], "AWB-Q7": orders, "7": orders, "#N2": [o for o in orders if "N2" in o]}.items():
+        assert sorted(r.order_no for r in search_lists.orders_in_lists(spark, path, q).collect()) == sorted(found), q
+
+
 def test_search_lists_of_empty_ledgers(spark, ledgers):
     path = shared_folder(spark, "lists")
     none = ledgers.only_orders(ledgers.sales.select("order_no").limit(0))
