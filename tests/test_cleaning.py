@@ -187,3 +187,32 @@ def test_currency_text_round_trip(spark, amounts):
     df = spark.createDataFrame([(a,) for a in amounts], "c bigint")
     back = df.select("c", money.cents_from_text(money.money_text(F.col("c"))).alias("d")).collect()
     assert all(r.c == r.d for r in back)
+
+
+def test_amount_patterns_run_once(spark):
+    rows = spark.range(1).selectExpr("cast(id as string) amount").select(money.cents_from_text(F.col("amount")).alias("cents"))
+    plan = rows._jdf.queryExecution().analyzed().expressions().toString()
+    assert plan.count("regexp_extract(") == 1 and plan.count("regexp_replace(") == 1
+
+
+@pytest.mark.parametrize(
+    "shown, date",
+    [
+        ("MAY 3 1998", dt.date(1998, 5, 3)),
+        ("Mar 3 1998", dt.date(1998, 3, 3)),
+        ("Mon, 3 march 1998 10:30", dt.date(1998, 3, 3)),
+        ("Marchy 3 1998", None),
+        ("_Mar 3 1998", None),
+        ("  ", None),
+        (None, None),
+    ],
+)
+def test_dates_by_their_first_character(spark, shown, date):
+    assert one(spark, text.clean_date(F.lit(shown).cast("string"))) == date
+
+
+def test_no_date_is_tried_as_a_whole_month_name(spark):
+    """A short month's name costs no failed parse."""
+    shapes = [shape for shape, pattern in text.DATE_SHAPES if pattern and "MMMM" in pattern]
+    tried = [one(spark, F.lit(shown).rlike(shape)) for shape in shapes for shown in ("Mar 3, 1998", "Mar 3 1998", "3 Mar 1998")]
+    assert not any(tried)

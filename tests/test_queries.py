@@ -7,6 +7,7 @@ import pytest
 
 import check
 from __spark_entry__ import entry, oracle_sql, queries
+from marginloom.workload import queries as queries_module
 from marginloom.workload.oracles import oracles
 from marginloom.workload.queries import registered
 
@@ -51,3 +52,11 @@ def test_dated_reports_read_only_their_months(spark, name):
     assert "sale_month" in plan.split("PartitionFilters: ")[1].split("]")[0]
     months = {int(f.split("sale_month=")[1].split("/")[0]) for f in df.inputFiles() if "sale_month=" in f}
     assert len(months) > 12  # the stored table holds many more than the window
+
+
+def test_staged_rows_hold_their_hash_once_as_bytes(spark):
+    w = queries_module.Workload(spark, FOLDER)
+    stored = dict(spark.read.parquet(queries_module._staged_rows(w)).dtypes)
+    assert stored["fingerprint"] == "binary" and "transaction_hash" not in stored
+    told = queries_module._staged(w).selectExpr("bool_and(transaction_hash = fingerprint and length(fingerprint) = 64)")
+    assert told.first()[0]
