@@ -350,3 +350,24 @@ def test_mapping_counts_follow_the_changed_waybills(spark, tmp_path, frame, monk
         assert seen["billing"][-1] == opened
     shares = {tuple(r) for r in inc.current_allocations(spark, store).collect()}
     assert shares == {("o1", "100", 100), ("o2", "100", 100), ("o4", "101", 100), ("o1", "999", 103)}
+
+
+def test_offered_links_are_grouped_once(spark, tmp_path, monkeypatch):
+    """They are written distinct, so appending them to the links groups nothing again."""
+    plans, write = [], inc.write_batch
+
+    def told(rows, path, batch_id):
+        if path.endswith("/links"):
+            plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        write(rows, path, batch_id)
+
+    monkeypatch.setattr(inc, "write_batch", told)
+    store = str(tmp_path / "store")
+    inc.create_table(spark, f"{store}/billing", inc.BILLING_ROWS)
+    inc.create_index(spark, f"{store}/billing")
+    inc.create_table(spark, f"{store}/sync_log", inc.LOG)
+    links = spark.createDataFrame([("1", "a"), ("1", "a"), ("2", "a"), ("", "b"), ("3", None)], "order_no string, waybill string")
+    for _ in range(2):
+        inc.sync_mappings(spark, store, links)
+    assert sorted(tuple(r) for r in spark.read.parquet(f"{store}/links").select("order_no", "waybill").collect()) == [("1", "a"), ("2", "a")]
+    assert len(plans) == 2 and not any("Aggregate" in plan for plan in plans)
