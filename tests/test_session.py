@@ -33,3 +33,15 @@ def test_loads_run_without_a_preset_folder(tmp_path):
 def test_tuned_sessions_bound_what_a_task_reads(spark):
     """With Spark's default of 64 MB the map that sums the facts of a task grew tenfold over that."""
     assert tune(spark).conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16m"
+
+
+def test_shuffle_files_go_with_the_execution_that_wrote_them(spark):
+    tune(spark)
+
+    def files():
+        manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return {name for name in manager.getAllFiles().mkString("|").split("|") if "shuffle_" in name}
+
+    before = files()
+    spark.range(10_000).repartition(4, "id").write.format("noop").mode("overwrite").save()
+    assert files() <= before
