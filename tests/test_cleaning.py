@@ -1,6 +1,9 @@
 import datetime as dt
 import hashlib
+import random
+import re
 from collections import Counter
+from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
 from hypothesis import given, settings
@@ -216,3 +219,34 @@ def test_no_date_is_tried_as_a_whole_month_name(spark):
     shapes = [shape for shape, pattern in text.DATE_SHAPES if pattern and "MMMM" in pattern]
     tried = [one(spark, F.lit(shown).rlike(shape)) for shape in shapes for shown in ("Mar 3, 1998", "Mar 3 1998", "3 Mar 1998")]
     assert not any(tried)
+
+
+def test_usual_texts_are_read_without_patterns(spark):
+    """Amounts that one cast can read, and what the patterns say of all others."""
+    usual = {"INR 1234.50": 123450, "-INR 12.34": -1234, "₹1,234.50": 123450, "-₹7": -700, ".5": 50, "5.": 500, " 7 ": 700, "+7": 700}
+    odd = ["INR", "-", "1e5", "1E2", "INR 1e5", "(45.00)", "45 USD", "٣٤", "1٣", "- 5", "+-5", "5-3", "1.2.3", "Infinity", "NaN", "1d", "0x1", "--", "1\n2", "\t8\n", "€9", "1" * 40]
+    chance = random.Random(5)
+    odd += ["".join(chance.choice("INR ₹,.-+05e\t") for _ in range(chance.randrange(1, 9))) for _ in range(300)]
+    frame = spark.createDataFrame([(t,) for t in [*usual, *odd]], "t string")
+    quick = {r.t: r.c for r in frame.select("t", money._usual_cents(F.col("t")).alias("c")).collect()}
+    assert {t: quick[t] for t in usual} == usual
+    found = {r.t: r.c for r in frame.select("t", money.cents_from_text(F.col("t")).alias("c")).collect()}
+    for text in [*usual, *odd]:
+        number = re.match(r"-?(?:[0-9]+\.?[0-9]*|\.[0-9]+)", re.sub(r"[^0-9.\-]+", "", text))
+        cents = int((Decimal(number[0]) * 100).to_integral_value(ROUND_HALF_UP)) if number else 0
+        assert found[text] == (cents if abs(cents) < 2**63 else None), text
+
+
+def test_texts_that_cannot_hold_a_shape_meet_no_pattern(spark):
+    """Every text that a pattern fits has the mark that is looked for before it."""
+    dates = ["05-Jan-98", "January 5, 1998", "May 5, 1998", "Jan 5, 1998", "1998-1-5", "1998-01-05T10:00", "1/5/1998", "1998/1/5", "5 January 1998", "5 Jan 1998", "January 5 1998", "Jan 5 1998", "1-5-1998", "5-Jan-1998"]
+    frame = spark.createDataFrame([(t,) for t in dates], "t string")
+    fits = [F.col("t").rlike(shape).alias(f"s{i}") for i, (shape, _) in enumerate(text.DATE_SHAPES)]
+    marks = [mark(F.col("t")).alias(f"m{i}") for i, mark in enumerate(text.DATE_MARKS)]
+    rows = frame.select("t", *fits, *marks).collect()
+    assert {i for r in rows for i in range(len(text.DATE_SHAPES)) if r[f"s{i}"]} == set(range(len(text.DATE_SHAPES)))
+    assert all(r[f"m{i}"] for r in rows for i in range(len(text.DATE_SHAPES)) if r[f"s{i}"])
+    assert frame.filter(text.clean_date(F.col("t")).isNull()).count() == 0
+    numbers = [("ORDER 4105054431", "4105054431"), ("order #12345678", "12345678"), ("#12345678", "12345678"), ("Listing #12345678", None), ("reorder 12345678", None), (None, None)]
+    found = spark.createDataFrame(numbers, "t string, n string").withColumn("found", text.order_no_in(F.col("t")))
+    assert found.filter("not (n <=> found)").count() == 0

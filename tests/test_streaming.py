@@ -371,3 +371,38 @@ def test_offered_links_are_grouped_once(spark, tmp_path, monkeypatch):
         inc.sync_mappings(spark, store, links)
     assert sorted(tuple(r) for r in spark.read.parquet(f"{store}/links").select("order_no", "waybill").collect()) == [("1", "a"), ("2", "a")]
     assert len(plans) == 2 and not any("Aggregate" in plan for plan in plans)
+
+
+def plans_of(monkeypatch):
+    """The optimized plan of each table's last write."""
+    plans, write = {}, inc.write_batch
+
+    def told(rows, path, batch_id):
+        plans[path.rsplit("/", 1)[1]] = rows._jdf.queryExecution().optimizedPlan().toString()
+        write(rows, path, batch_id)
+
+    monkeypatch.setattr(inc, "write_batch", told)
+    return plans
+
+
+def test_statement_texts_are_typed_once(statements, monkeypatch):
+    """Amounts and dates are read with the parse; the check of the files and the load take them from there."""
+    landing, load = statements
+    plans = plans_of(monkeypatch)
+    body = sale("4105054431", "10.00") + sale("4105054432", "1.00").replace("June 01, 2026", "no day") + fee("Etsy Ads", "x", kind="Marketing")
+    put(landing, "a.csv", body)
+    put(landing, "b.csv", sale("4105054433", "99999999999999999999"))
+    got = load()
+    assert {(r.total_rows, r.failed_rows, r.unparsed_dates, r.status) for r in got["imports"]} == {(3, 0, 1, "COMPLETED"), (1, 1, 0, "FAILED")}
+    assert sorted((r.order_no, r.amount_cents) for r in got["transactions"] if r.order_no) == [("4105054431", 1000), ("4105054432", 100)]
+    assert "0-9." in plans["parsed"] and "0-9." not in plans["files"] + plans["staged"]
+
+
+def test_new_rows_are_shuffled_before_they_are_sorted(statements, monkeypatch):
+    landing, load = statements
+    plans = plans_of(monkeypatch)
+    put(landing, "a.csv", sale("4105054431", "10.00") * 2)
+    put(landing, "b.csv", sale("4105054431", "10.00") * 3)
+    got = load()
+    assert len(got["transactions"]) == 3
+    assert "RepartitionByExpression [fingerprint" in plans["transactions"]
