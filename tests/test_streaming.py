@@ -398,6 +398,15 @@ def test_statement_texts_are_typed_once(statements, monkeypatch):
     assert "0-9." in plans["parsed"] and "0-9." not in plans["files"] + plans["staged"]
 
 
+def test_pools_are_shared_from_turns_that_are_found_once(statements, monkeypatch):
+    landing, load = statements
+    plans = plans_of(monkeypatch)
+    put(landing, "a.csv", sale("4105054431", "10.00") + sale("4105054432", "20.00") + fee("Etsy Ads", "-0.05", kind="Marketing"))
+    got = load()
+    assert sorted(r.amount_cents for r in got["pool_allocations"]) == [2, 3]
+    assert all("fingerprint" not in plans[t] and "scope" not in plans[t] for t in ("pool_batches", "pool_allocations"))
+
+
 def test_new_rows_are_shuffled_before_they_are_sorted(statements, monkeypatch):
     landing, load = statements
     plans = plans_of(monkeypatch)
