@@ -175,3 +175,20 @@ def test_sums_stay_in_generated_hash_aggregates(loads):
     loads.statement(0, sales=[("1", DAY(2026, 1, 1), 100)])
     full = refresh.summed(refresh.new_facts(loads.spark, loads.stores, dict.fromkeys(loads.stores.logs(), -1), refresh.positions(loads.spark, loads.stores)))
     assert "SortAggregate" not in full._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stored_sums_and_changes_are_joined(spark):
+    """Both have one row per order: nothing is grouped again; a fact that one side lacks comes from the other."""
+    names = [f.split()[0] for f in refresh.SUMS.replace("array<string>", "texts").split(", ")]
+    low, high = DAY(2026, 1, 1), DAY(2026, 2, 1)
+
+    def sums(rows):
+        return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], refresh.SUMS)
+
+    old = sums([{"order_no": "1", "sale_date": high, "listed": 1, "sales": 5, "waybills": ["b", "c"]}, {"order_no": "2", "refunds": 1}])
+    new = sums([{"order_no": "1", "sale_date": low, "sales": -2, "refunds": 4, "waybills": ["a", "b"]}, {"order_no": "3", "sale_date": high, "listed": 1, "waybills": ["x"]}])
+    both = refresh.merged(old, new)
+    found = {r.order_no: (r.sale_date, r.listed, r.sales, r.refunds, r.pool_expense, r.waybills) for r in both.collect()}
+    assert found == {"1": (low, 1, 3, 4, None, ["a", "b", "c"]), "2": (None, None, None, 1, None, None), "3": (high, 1, None, None, None, ["x"])}
+    assert both.columns == names
+    assert "Aggregate" not in both._jdf.queryExecution().optimizedPlan().toString()
