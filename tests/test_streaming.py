@@ -415,3 +415,11 @@ def test_new_rows_are_shuffled_before_they_are_sorted(statements, monkeypatch):
     got = load()
     assert len(got["transactions"]) == 3
     assert "RepartitionByExpression [fingerprint" in plans["transactions"]
+
+
+def test_lines_are_matched_with_splits_only_if_one_was_read_twice(statements, monkeypatch):
+    landing, load = statements
+    plans = plans_of(monkeypatch)
+    put(landing, "a.csv", sale("4105054431", "10.00"))
+    load()
+    assert "last_task" not in plans["parsed"]
